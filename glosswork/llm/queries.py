@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import formatdup, leaks, mixing, sampling
+from glosswork.llm import embedded, formatdup, lang, leaks, mixing, sampling, sentences
 from glosswork.plans.common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lang.languages(table(spark, d, "comments")).where("mended").select("comment_id", "seg_no", "lang")
+
+
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    return lang.languages(table(spark, d, "comments")).withColumn("confidence", F.round("confidence", 4))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sampling.allocate(table(spark, d, "pool"), table(spark, d, "sample_targets")).where("short > 0").select("source", "lang", "band")
 
@@ -31,6 +39,15 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.collapse(table(spark, d, "comments").where("exclude IS NULL"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return embedded.embedded(table(spark, d, "comments")).select("comment_id", "place", "lang")
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    comments = table(spark, d, "comments")
+    return embedded.shares(comments, embedded.embedded(comments))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     hits = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return hits.select(F.col("id").alias("doc_id"), "item_id").distinct()
@@ -51,8 +68,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_report, p4_sample, p5_found, p5_records, p7_found, p7_cleaned, p8_found, p8_report)
+    f.__name__: f for f in (p1_found, p1_languages, p4_found, p4_report, p4_sample, p5_found, p5_records, p6_found, p6_shares, p7_found, p7_cleaned, p8_found, p8_report, p9_found)
 }
 
 NEEDS = """
