@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import embedded, formatdup, lang, leaks, mixing, sampling, sentences
+from glosswork.llm import embedded, formatdup, handwritten, lang, leaks, mixing, sampling, sentences
 from glosswork.plans.common import table
 
 
@@ -19,6 +19,14 @@ def p1_languages(spark: SparkSession, d: str) -> DataFrame:
     return lang.languages(table(spark, d, "comments")).withColumn("confidence", F.round("confidence", 4))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classified(table(spark, d, "source_files")).where("kind IS NOT NULL").select("file_id")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classified(table(spark, d, "source_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sampling.allocate(table(spark, d, "pool"), table(spark, d, "sample_targets")).where("short > 0").select("source", "lang", "band")
 
@@ -73,7 +81,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p4_found, p4_report, p4_sample, p5_found, p5_records, p6_found, p6_shares, p7_found, p7_cleaned, p8_found, p8_report, p9_found)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_kinds, p4_found, p4_report, p4_sample, p5_found, p5_records, p6_found, p6_shares, p7_found, p7_cleaned, p8_found, p8_report, p9_found)
 }
 
 NEEDS = """
