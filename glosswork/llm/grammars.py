@@ -13,8 +13,8 @@ names <- ID ('as' ID)? (',' ID ('as' ID)?)*
 assign <- exprs (':' expr ('=' exprs)? / augmented exprs / ('=' exprs)*)
 augmented <- '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '>>=' / '<<=' / '**='
 compound <- decorator* (def / class) / 'if' named ':' block ('elif' named ':' block)* else? / 'while' named ':' block else?
-  / 'for' exprs 'in' exprs ':' block else? / 'try' ':' block (('except' '*'? (exprs ('as' ID)?)? ':' block)+ else? finally? / finally) / 'with' withs ':' block
-  / 'async' (def / 'for' exprs 'in' exprs ':' block else? / 'with' withs ':' block) / match
+  / 'for' targets 'in' exprs ':' block else? / 'try' ':' block (('except' '*'? (exprs ('as' ID)?)? ':' block)+ else? finally? / finally) / 'with' withs ':' block
+  / 'async' (def / 'for' targets 'in' exprs ':' block else? / 'with' withs ':' block) / match
 else <- 'else' ':' block
 finally <- 'finally' ':' block
 withs <- '(' with (',' with)* ','? ')' &':' / with (',' with)*
@@ -87,7 +87,7 @@ exprs <- expr (',' expr)*
 expr <- arrow / 'yield' (!NL '*'? expr)? / operand (binop operand)* ('?' expr ':' expr)? (assign expr)?
 arrow <- ~'async'? (ID / {generics? }params{ ret?}) '=>' (block / expr)
 assign <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '>>=' / '>>>=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??='
-binop <- '+' / '-' / '*' / '/' / '%' / '**' / '===' / '!==' / '==' / '!=' / '<=' / '>=' / '<<' / '>>>' / '>>' / '<' / '>' / '&&' / '||' / '??' / '&' / '|' / '^' / 'in' / 'instanceof'
+binop <- '+' / '-' / '*' / '/' / '%' / '**' / '===' / '!==' / '==' / '!=' / '<=' / '>=' / '<<' / '>' '>' '>' / '>' '>' / '<' / '>' / '&&' / '||' / '??' / '&' / '|' / '^' / 'in' / 'instanceof'
 operand <- prefix* primary postfix* (!NL ('++' / '--'))?{ ((~'as' / ~'satisfies') ('const' / typex) / '!' !NL)*}
 prefix <- '+' / '-' / '!' / '~' / '++' / '--' / 'typeof' / 'void' / 'delete' / ~'await' &operandstart
 operandstart <- ID / NUM / STR / '(' / '[' / 'this' / 'new' / 'function' / 'import' / 'super'
@@ -332,6 +332,8 @@ def _variant(text: str, full: bool) -> str:
             quoted = not quoted
         if not quoted and c in "{}":
             depth += 1 if c == "{" else -1
+            if out and out[-1] != "\n":
+                out.append(" ")
             continue
         if full or not depth:
             out.append(c)

@@ -40,6 +40,7 @@ class Grammar:
         self.nl: list[bool] | bytearray = []
         self.far = 0
         self._first = self._firsts()
+        self._flat = self._flat_rules()
         self._leaf: dict[str, str | None] = {}
         self._run: dict[str, Callable[[int], int]] = {}
         for name in rules:
@@ -140,7 +141,20 @@ class Grammar:
 
     # Expressions without recursion become one regular expression with atomic groups, which is what PEG means by them.
 
-    def _as_regex(self, node, seen: tuple[str, ...] = ()) -> str | None:
+    def _names(self, node) -> set[str]:
+        if node[0] == "rule":
+            return {node[1]}
+        return set().union(*(self._names(n) for n in (node[1] if node[0] in ("seq", "choice") else node[1:]) if isinstance(n, tuple)))
+
+    def _flat_rules(self) -> set[str]:
+        """Rules that reach no rule which reaches itself."""
+        direct = {r: self._names(n) for r, n in self.rules.items()}
+        flat: set[str] = set()
+        while fresh := {r for r, uses in direct.items() if r not in flat and uses <= flat}:
+            flat |= fresh
+        return flat
+
+    def _as_regex(self, node) -> str | None:
         kind = node[0]
         if kind == "code":
             return re.escape(node[1])
@@ -152,23 +166,20 @@ class Grammar:
             return None
         if kind == "rule":
             name = node[1]
-            if name in seen:
-                return None
-            if not seen and name in self._leaf:
-                return self._leaf[name]
-            r = self._as_regex(self.rules[name], (*seen, name))
-            if not seen:
-                self._leaf[name] = r
-            return r
+            if name not in self._leaf:
+                self._leaf[name] = self._as_regex(self.rules[name]) if name in self._flat else None
+            return self._leaf[name]
         if kind in ("&", "!"):
-            r = self._as_regex(node[1], seen)
+            r = self._as_regex(node[1])
             return r and f"(?{'=' if kind == '&' else '!'}{r})"
         if kind in "*+?":
-            r = self._as_regex(node[1], seen)
+            r = self._as_regex(node[1])
             return r and f"(?:{r}){kind}+"
-        parts = [self._as_regex(n, seen) for n in node[1]]
-        if any(p is None for p in parts):
-            return None
+        parts = []
+        for n in node[1]:
+            parts.append(self._as_regex(n))
+            if parts[-1] is None:
+                return None
         return "".join(parts) if kind == "seq" else f"(?>{'|'.join(parts)})"
 
     # Building matchers: position in, end or -1 out.

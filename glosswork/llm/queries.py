@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import embedded, formatdup, handwritten, lang, leaks, mixing, sampling, sentences
+from glosswork.llm import embedded, formatdup, handwritten, lang, leaks, mixing, parsing, sampling, sentences
 from glosswork.plans.common import table
 
 
@@ -27,6 +27,22 @@ def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.classified(table(spark, d, "source_files"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse(table(spark, d, "source_files")).where("NOT valid").select("file_id")
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse(table(spark, d, "source_files"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(parsing.parse(table(spark, d, "source_files")))
+
+
+def p3_filled(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.filled(table(spark, d, "extract_stats"), parsing.parse(table(spark, d, "source_files")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sampling.allocate(table(spark, d, "pool"), table(spark, d, "sample_targets")).where("short > 0").select("source", "lang", "band")
 
@@ -81,7 +97,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_kinds, p4_found, p4_report, p4_sample, p5_found, p5_records, p6_found, p6_shares, p7_found, p7_cleaned, p8_found, p8_report, p9_found)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_kinds, p3_found, p3_errors, p3_rates, p3_filled, p4_found, p4_report, p4_sample, p5_found, p5_records, p6_found, p6_shares, p7_found, p7_cleaned, p8_found, p8_report, p9_found)
 }
 
 NEEDS = """
