@@ -217,7 +217,7 @@ function <- {attribute* }specs{?} declarator {('const' / 'noexcept' ('(' expr ')
 {ctorinit <- qualified ('(' args ')' / '{' args '}')}
 declaration <- {attribute* }specs (initone (',' initone)*)? ';'
 specs <- {attribute* }spec* (type spec*)
-spec <- 'static' / 'const' / 'extern' / 'inline' / 'typedef' / 'register' / 'volatile' / 'restrict' / '_Noreturn' / 'signed' / 'unsigned' / 'short' / 'long' / '__attribute__' '(' '(' (!')' .)* ')' ')'{ / 'constexpr' / 'consteval' / 'constinit' / 'virtual' / 'explicit' ('(' expr ')')? / 'mutable' / 'thread_local' / 'friend'}
+spec <- 'static' / 'const' / 'extern' / 'inline' / 'typedef' / 'register' / 'volatile' / 'restrict' / '_Noreturn' / '__attribute__' '(' '(' (!')' .)* ')' ')'{ / 'constexpr' / 'consteval' / 'constinit' / 'virtual' / 'explicit' ('(' expr ')')? / 'mutable' / 'thread_local' / 'friend'}
 type <- 'void' / 'int' / 'char' / 'float' / 'double' / 'bool' / '_Bool' / 'auto' / 'unsigned' / 'signed' / 'long' / 'short' / record / enum{ / 'decltype' '(' expr ')' / 'typename' qualified / qualified} / ID
 record <- ('struct' / 'union'{ / 'class'}) {attribute* }(ID{ targs?} {'final'? (':' base (',' base)*)? }('{' field* '}')? / '{' field* '}')
 {base <- ('public' / 'private' / 'protected' / 'virtual')* qualified}
