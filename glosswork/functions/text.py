@@ -17,7 +17,9 @@ who whom whose why will with won't would wouldn't yet you you'd you'll you're yo
 beyond inside outside onto upon throughout toward towards within without using
 """.split()
 
-_STOP = F.array(*map(F.lit, STOPWORDS))
+
+def is_stopword(word: Column) -> Column:
+    return word.isin(STOPWORDS)
 
 
 def norm_key(text: Column) -> Column:
@@ -48,7 +50,7 @@ def identifier_words(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct parts of identifiers and words of a comment without stop words."""
-    return F.filter(F.array_distinct(identifier_words(strip_refs(text))), lambda w: ~F.array_contains(_STOP, w))
+    return F.filter(F.array_distinct(identifier_words(strip_refs(text))), lambda w: ~is_stopword(w))
 
 
 def overlap(text: Column, code: Column, least: int = 3) -> Column:
@@ -62,7 +64,7 @@ def is_english(text: Column, share: float = 0.12) -> Column:
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
     ascii_ones = F.regexp_count(text, F.lit("[A-Za-z]"))
     words = comment_words(text)
-    stops = F.size(F.filter(words, lambda w: F.array_contains(_STOP, w)))
+    stops = F.size(F.filter(words, lambda w: is_stopword(w)))
     common = (F.size(words) < 6) | (stops >= share * F.size(words))
     return F.coalesce((letters > 0) & (ascii_ones * 10 >= letters * 9) & common, F.lit(False))
 
