@@ -216,7 +216,8 @@ top <- ';' / {'namespace' attribute? ID? ('::' ID)* '{' top* '}' / 'extern' STR
 function <- {attribute* }specs{?} declarator {('const' / 'noexcept' ('(' expr ')')? / 'override' / 'final' / '&' / '&&')* ('->' typename)? (':' ctorinit (',' ctorinit)*)? 'try'? }block
 {ctorinit <- qualified ('(' args ')' / '{' args '}')}
 declaration <- {attribute* }specs (initone (',' initone)*)? ';'
-specs <- {attribute* }spec* (type spec*)
+specs <- {attribute* }spec* (intword (intword / spec)* ('int' / 'char' / 'double')? (intword / spec)* / type (intword / spec)*)
+intword <- 'signed' / 'unsigned' / 'short' / 'long'
 spec <- 'static' / 'const' / 'extern' / 'inline' / 'typedef' / 'register' / 'volatile' / 'restrict' / '_Noreturn' / '__attribute__' '(' '(' (!')' .)* ')' ')'{ / 'constexpr' / 'consteval' / 'constinit' / 'virtual' / 'explicit' ('(' expr ')')? / 'mutable' / 'thread_local' / 'friend'}
 type <- 'void' / 'int' / 'char' / 'float' / 'double' / 'bool' / '_Bool' / 'auto' / 'unsigned' / 'signed' / 'long' / 'short' / record / enum{ / 'decltype' '(' expr ')' / 'typename' qualified / qualified} / ID
 record <- ('struct' / 'union'{ / 'class'}) {attribute* }(ID{ targs?} {'final'? (':' base (',' base)*)? }('{' field* '}')? / '{' field* '}')
