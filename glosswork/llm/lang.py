@@ -228,21 +228,24 @@ def segments(text: str | None, model: Model) -> list[tuple[str, float, int, int]
 
 
 def sample(df: DataFrame, text_col: str = "text", label_col: str = "text_lang", group_col: str = "repo", most: int = SAMPLE) -> list[tuple[str | None, str | None, str, float]]:
-    """A bounded sample of labelled rows, as even over the labels as they allow; rows are taken by the hash of their text.
+    """A bounded sample of labelled rows, as even over the labels as they allow; rows are taken by the hash of group and text.
 
-    About `most` / labels rows of each label, all of a rarer one; never more than twice `most` rows. Labels beyond
-    the 200 most frequent are not sampled.
+    Labels are served from the rarest on, each with an equal part of what is left, so that rare ones come whole and
+    the frequent share the rest; never more than twice `most` rows. Labels beyond the 200 most frequent are not sampled.
     """
     name = F.coalesce(F.lower(F.trim(F.col(label_col))), F.lit("")).alias("label")
     rows = df.where(F.col(text_col).isNotNull()).select(name, F.col(group_col).alias("g"), F.col(text_col).alias("t"))
     sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(200).collect()
     if not sizes:
         return []
-    each = max(500, most // len(sizes))
     scale = 1_000_000
-    share = {r.label: min(1.0, each / r["count"]) for r in sizes}
-    even = F.create_map(*[x for l, s in share.items() for x in (F.lit(l), F.lit(int(s * scale)))])
-    taken = rows.where(F.pmod(F.xxhash64("t"), F.lit(scale)) < F.coalesce(F.try_element_at(even, F.col("label")), F.lit(0)))
+    share, left = {}, most
+    for k, r in enumerate(reversed(sizes)):
+        part = min(r["count"], left // (len(sizes) - k))
+        share[r.label] = max(1, part) / r["count"]
+        left -= part
+    even = F.create_map(*[x for l, s in share.items() for x in (F.lit(l), F.lit(max(1, int(s * scale))))])
+    taken = rows.where(F.pmod(F.xxhash64("g", "t"), F.lit(scale)) < F.coalesce(F.try_element_at(even, F.col("label")), F.lit(0)))
     return [(r.label or None, r.g, r.t, 1 / share[r.label]) for r in taken.limit(2 * most).collect()]
 
 
