@@ -66,7 +66,7 @@ def bucket_of(key: Column, levels: list[tuple[int, list[bytes]]]) -> Column:
 
 
 class Trie:
-    """Canonical keys in nodes of STEP bytes; a terminal counter holds [copies, smallest id]."""
+    """Canonical keys, STEP bytes an edge. A key that shares no further edge is one leaf: [rest of it, copies, smallest id]."""
 
     __slots__ = ("root", "size")
 
@@ -74,32 +74,37 @@ class Trie:
         self.root: dict = {}
         self.size = 0
 
-    def add(self, key: bytes, start: int, n: int, least: int) -> None:
-        node = self.root
-        for i in range(start, len(key), STEP):
-            part = key[i : i + STEP]
-            below = node.get(part)
-            if below is None:
-                below = node[part] = {}
-            node = below
-        end = node.get(None)
-        if end is None:
-            node[None] = [n, least]
-            self.size += 1
-        else:
-            end[0] += n
-            if least < end[1]:
-                end[1] = least
+    def add(self, key: bytes, n: int, least: int) -> None:
+        node, at = self.root, 0
+        while True:
+            part = key[at : at + STEP]
+            at += STEP
+            found = node.get(part)
+            if found is None:
+                node[part] = [key[at:], n, least]
+                self.size += 1
+                return
+            if type(found) is dict:
+                node = found
+                continue
+            rest = found[0]
+            if rest == key[at:]:
+                found[1] += n
+                if least < found[2]:
+                    found[2] = least
+                return
+            found[0] = rest[STEP:]
+            node[part] = node = {rest[:STEP]: found}
 
     def items(self) -> Iterator[tuple[bytes, int, int]]:
         stack = [(b"", self.root)]
         while stack:
             path, node = stack.pop()
             for part, below in node.items():
-                if part is None:
-                    yield path, below[0], below[1]
-                else:
+                if type(below) is dict:
                     stack.append((path + part, below))
+                else:
+                    yield path + part + below[0], below[1], below[2]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -112,7 +117,7 @@ def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     trie = Trie()
     for b in batches:
         for key, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            trie.add(key, 0, 1, i)
+            trie.add(key, 1, i)
         if trie.size > FLUSH:
             yield _batch(list(trie.items()))
             trie = Trie()
@@ -129,7 +134,7 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if trie.size:
                     yield _batch([x for x in trie.items() if x[1] > 1])
                 at, trie = bucket, Trie()
-            trie.add(key, 0, n, least)
+            trie.add(key, n, least)
     yield _batch([x for x in trie.items() if x[1] > 1])
 
 
@@ -140,7 +145,7 @@ def copies(df: DataFrame, id_col: str = "comment_id", group_col: str = "repo", t
     but the kept one. Rows with a null id, group or text, and texts without letters and digits, are left out. Empty
     input gives empty results.
 
-    Identical keys are counted in tries inside each input partition first, so one key that holds a third of all
+    The canonical keys are written once and read by every later pass. Identical keys are counted in tries inside each input partition first, so one key that holds a third of all
     rows reaches its bucket as one row for each partition. In the join that names the members such a key is salted:
     keys with more rows than a thousandth of the total (a thousand keys at the most) spread over several tasks.
     """
@@ -148,7 +153,7 @@ def copies(df: DataFrame, id_col: str = "comment_id", group_col: str = "repo", t
     source = df.where(F.col(id_col).isNotNull() & F.col(group_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("copy_id"), F.col(group_col).alias("g"), canon.alias("c")
     )
-    keys = source.where("c != ''").select(F.concat(F.col("g"), F.lit("\x00"), F.col("c")).cast("binary").alias("key"), "copy_id")
+    keys = settle(source.where("c != ''").select(F.concat(F.col("g"), F.lit("\x00"), F.col("c")).cast("binary").alias("key"), "copy_id"))
     levels = radix_buckets(keys, cap)
     partial = keys.mapInArrow(_count_partition, "key binary, n long, keep_id long")
     placed = partial.select(bucket_of(F.col("key"), levels).alias("bucket"), "key", "n", "keep_id")
