@@ -13,6 +13,7 @@ from glosswork.plans.common import settle
 FIELD = r"(?U)(?:^|[\s;])(?:@[\w.-]+\s+\S|[\w.-]+=\S)"
 PIECES = r"\R|;|(?=@)"
 STEP = 8
+SHARED = (8, 64, 512, 4096)
 FRONTIER = 2000
 FLUSH = 400_000
 
@@ -28,36 +29,34 @@ def canonical(text: Column) -> Column:
     return F.when(text.rlike(FIELD), pieces).otherwise(letters(text))
 
 
-def radix_buckets(keys: DataFrame, cap: int) -> list[tuple[int, list[bytes]]]:
-    """The oversized prefixes by level: at each level buckets of more than max(cap, rows / FRONTIER) rows are split by STEP further bytes.
+def radix_buckets(keys: DataFrame, cap: int) -> tuple[list[tuple[int, list[bytes]]], int]:
+    """The oversized prefixes by level, and the length at which the last of them are cut.
 
-    `keys` has the binary column `key`. A level can hold FRONTIER oversized buckets at the most, since each has more
-    than rows / FRONTIER rows, so what reaches the driver is bounded. A bucket whose keys all end within the prefix
-    holds copies of one key and is not split: the counters take it.
+    At each level buckets of more than max(cap, rows / FRONTIER) rows are split by STEP further bytes; bytes that all
+    keys of every such bucket share are passed over at once. `keys` has the binary column `key`. A level can hold
+    FRONTIER oversized buckets at the most, since each has more than rows / FRONTIER rows, so what reaches the driver
+    is bounded. A bucket that holds copies of one key is not split: the counters take it.
     """
     total = keys.count()
     most = max(cap, -(-total // FRONTIER))
     levels: list[tuple[int, list[bytes]]] = []
-    depth, rows = STEP, keys
+    depth, rows, whole = STEP, keys, F.xxhash64("key")
     while True:
-        prefix = F.substring("key", 1, depth)
-        over = (
-            rows.groupBy(prefix.alias("p"))
-            .agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest"))
-            .where((F.col("n") > most) & (F.col("longest") > depth))
-        )
+        prefix = F.substring("key", 1, depth).alias("p")
+        over = rows.groupBy(prefix).agg(F.count("*").alias("n"), F.min(whole).alias("low"), F.max(whole).alias("high")).where((F.col("n") > most) & (F.col("low") != F.col("high")))
         found = [bytes(r.p) for r in over.select("p").collect()]
         if not found:
-            return levels
+            return levels, depth
         levels.append((depth, found))
         table = keys.sparkSession.createDataFrame([(bytearray(p),) for p in found], "_p binary")
         rows = rows.join(F.broadcast(table), F.substring("key", 1, depth) == F.col("_p"), "left_semi")
-        depth += STEP
+        further = [F.xxhash64(F.substring("key", depth + 1, n)) for n in SHARED]
+        shared = rows.groupBy(prefix).agg(*(F.min(h).eqNullSafe(F.max(h)).alias(str(n)) for h, n in zip(further, SHARED))).agg(*(F.bool_and(str(n)).alias(str(n)) for n in SHARED)).head()
+        depth += STEP + max((n for n in SHARED if shared[str(n)]), default=0)
 
 
-def bucket_of(key: Column, levels: list[tuple[int, list[bytes]]]) -> Column:
+def bucket_of(key: Column, levels: list[tuple[int, list[bytes]]], deepest: int) -> Column:
     """The bucket of a key: its shortest prefix that is not oversized."""
-    deepest = levels[-1][0] + STEP if levels else STEP
     bucket = F.substring(key, 1, deepest)
     for depth, over in reversed(levels):
         prefix = F.substring(key, 1, depth)
@@ -154,9 +153,9 @@ def copies(df: DataFrame, id_col: str = "comment_id", group_col: str = "repo", t
         F.col(id_col).cast("long").alias("copy_id"), F.col(group_col).alias("g"), canon.alias("c")
     )
     keys = settle(source.where("c != ''").select(F.concat(F.col("g"), F.lit("\x00"), F.col("c")).cast("binary").alias("key"), "copy_id"))
-    levels = radix_buckets(keys, cap)
+    levels, deepest = radix_buckets(keys, cap)
     partial = keys.mapInArrow(_count_partition, "key binary, n long, keep_id long")
-    placed = partial.select(bucket_of(F.col("key"), levels).alias("bucket"), "key", "n", "keep_id")
+    placed = partial.select(bucket_of(F.col("key"), levels, deepest).alias("bucket"), "key", "n", "keep_id")
     counted = placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_buckets, "key binary, n long, keep_id long")
     sets = settle(counted.select(F.md5("key").alias("digest"), "n", "keep_id"))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).head().s
