@@ -75,6 +75,22 @@ def test_kinds_of_files(spark):
     assert handwritten.classified(files.where("file_id < 0")).count() == 0
 
 
+def test_copies_over_repositories(spark):
+    def code(name, n):
+        return "".join(f"def {name}{k}(rows, limit):\n    if limit > {k}:\n        return rows[{k}] + {name}_base\n    return {name}{k + 1}(rows)\n\n\n" for k in range(n))
+
+    foreign = "import os\n" + code("pack", 6)
+    rows = [
+        (1, "a/a", "lib/x.py", foreign), (2, "b/b", "src/y.py", "# own notes\n" + foreign), (3, "c/c", "tools/z.py", foreign + "print(os)\n"),
+        (4, "a/a", "src/u.py", code("first", 6)), (5, "b/b", "src/v.py", code("second", 6)),
+        (6, "d/d", "core/w.py", code("own", 6)), (7, "e/e", "vendor/own/w.py", code("own", 6)), (8, "d/d", "core/w.py", code("own", 6)),
+        (9, "a/a", "m.py", "main()\n"), (10, "b/b", "m.py", "main()\n"),
+    ]
+    files = spark.createDataFrame([(i, r, "s", f, "python", c) for i, r, f, c in rows], "file_id long, repo string, sha string, file string, lang string, content string")
+    got = {r.file_id: r.kind for r in handwritten.classified(files).collect()}
+    assert {i for i, k in got.items() if k == "vendored"} == {1, 2, 3, 7}
+
+
 def test_components_of_a_chain(spark):
     nodes = spark.range(40).withColumnRenamed("id", "file_id")
     edges = nodes.where("file_id % 10 < 9").select("file_id", (F.col("file_id") + 1).alias("other"))
