@@ -75,6 +75,19 @@ def test_kinds_of_files(spark):
     assert handwritten.classified(files.where("file_id < 0")).count() == 0
 
 
+def test_kinds_by_ratio_and_family(spark):
+    rng = random.Random(3)
+    shapes = ["".join(rng.choice(["a(b)", "a[b]", "a.b", "a + b", "a * (b - c)", "a < b"]) + rng.choice([", ", "; ", " | "]) for _ in range(6)) + "\n" for _ in range(14)]
+    long = "".join(s for _ in range(60) for s in shapes)
+    table = "rows = [\n" + "".join(f"  [{k}, [{k}, '{k}'], {{{k}: '{k}'}}, ({k}, -{k}), f({k}), {k} * {k}, not {k}, {k} + {k}, x[{k}], y.z, {k} / {k}, {k} % {k}, {k} < {k}],\n" for k in range(200)) + "]\n"
+    rows = [(1, "a/a", long), (2, "a/a", table), *((10 + k, "b/b", f"n_{k} = " + " ".join(f"'{k * j:x}'" for j in range(9 + k // 3)) + "\n") for k in range(6)), (20, "c/c", "x = f(a)\n")]
+    files = spark.createDataFrame([(i, r, "s", f"src/{i}.py", "python", c) for i, r, c in rows], "file_id long, repo string, sha string, file string, lang string, content string")
+    counts = {i: handwritten.signature(handwritten.masked(c, "python")[0]) for i, _, c in rows}
+    assert len(counts[1][1]) > 75 and len(counts[2][1]) > 45 and counts[10][0] < 15
+    got = {r.file_id: r.kind for r in handwritten.classified(files).collect()}
+    assert got == {1: "generated", 2: "blob", **{10 + k: "blob" for k in range(6)}, 20: None}
+
+
 def test_copies_over_repositories(spark):
     def code(name, n):
         return "".join(f"def {name}{k}(rows, limit):\n    if limit > {k}:\n        return rows[{k}] + {name}_base\n    return {name}{k + 1}(rows)\n\n\n" for k in range(n))
