@@ -74,6 +74,8 @@ IDENTIFIER = re.compile(r"\w+_\w+|[a-z]+[A-Z]\w*|\w+(?=\.\w+\(|\(\))")
 PART = re.compile(r"[^\W_]{3,}")
 WORD = re.compile(r"\w+")
 LAST = re.compile(r"[.!?‼⁇⁈⁉؟۔।॥。！？｡．…][\"'”’“»›)\]}」』）】〉》*\s]*$")
+QUOTES = re.compile(r"[“‘「『«”’」』»]")
+PAIRS = {"”": "“", "’": "‘", "」": "「", "』": "『", "»": "«"}
 OPENERS = "\"'“”‘„«‹(¿¡「『（【[*"
 
 
@@ -94,14 +96,13 @@ class Names:
         return bool(m) and m.group().lower() in self.parts
 
 
-def _unbroken(before: str, mark: str, closers: str, gap: str, text: str, at: int, names: Names) -> bool:
-    """Whether the sentence goes on at `at`, after an end mark, its closers and a gap."""
+def _unbroken(before: str, mark: str, closers: str, gap: str, text: str, at: int, names: Names, told: bool) -> bool:
+    """Whether the sentence goes on at `at`, after an end mark, its closers and a gap; `told` is whether a colon introduces the quotation that is open."""
     after = text[at]
     if mark[-1] in WIDE and mark[-1] not in ".!?":
         if not closers or gap:
             return False
-        opened = max((before.rfind(q) for q in "“‘「『«"), default=-1)
-        return opened < 1 or before[opened - 1] not in ":："
+        return not told
     if after in ",;:)]}»›，、；：）」』" or (after in "—–-" and closers):
         return True
     lower = after.islower()
@@ -138,13 +139,21 @@ def _unbroken(before: str, mark: str, closers: str, gap: str, text: str, at: int
 
 def _cut(text: str, start: int, end: int, names: Names) -> Iterator[tuple[int, int]]:
     """The units of one block whose inner line breaks are blanks already."""
-    begin = start
+    begin = seen = start
     cuts: list[tuple[int, int]] = []
+    opened: list[int] = []
     for m in END.finditer(text, start, end):
         if m.end() >= end:
             continue
         mark, closers, gap = m.groups()
-        if not _unbroken(text[max(start, m.start() - 120) : m.start()], mark, closers, gap, text, m.end(), names):
+        for q in QUOTES.finditer(text, seen, m.start()):
+            if q.group() not in PAIRS:
+                opened.append(q.start())
+            elif opened and text[opened[-1]] == PAIRS[q.group()]:
+                opened.pop()
+        seen = m.start()
+        told = bool(opened) and opened[-1] > start and text[opened[-1] - 1] in ":："
+        if not _unbroken(text[max(start, m.start() - 120) : m.start()], mark, closers, gap, text, m.end(), names, told):
             cuts.append((m.end() - len(gap), m.end()))
     if THAI_ANY.search(text, start, end):
         cuts += [(m.start(), m.end()) for m in THAI.finditer(text, start, end)]

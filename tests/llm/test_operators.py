@@ -281,6 +281,12 @@ def test_sentences(spark, text, units):
     assert [text[r.start_char : r.end_char] for r in sentences.sentences(docs).orderBy("start_char").collect()] == units
 
 
+@pytest.mark.parametrize("n", [10, 119, 400])
+def test_long_quotation_after_a_colon(n):
+    text = "他说：“" + "很" * n + "。”这个函数返回索引。"
+    assert [text[a:b] for a, b in sentences.units(text)] == ["他说：“" + "很" * n + "。”", "这个函数返回索引。"]
+
+
 def test_sentences_of_all_documents(spark, data):
     docs = spark.read.parquet(data + "/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
