@@ -64,7 +64,7 @@ end <- ';' / &'}' / !. / NL
 block <- '{' stmt* '}'
 stmt <- block / ';' / 'import' !'(' !'.' import end / 'export' export / decl / 'if' '(' exprs ')' stmt ('else' stmt)? / 'for' ~'await'? '(' forhead ')' stmt / 'while' '(' exprs ')' stmt
   / 'do' stmt 'while' '(' exprs ')' ';'? / 'return' (!NL exprs)? end / 'throw' exprs end / ('break' / 'continue') (!NL ID)? end / 'try' block ('catch' ('(' bind{type?} ')')? block)? ('finally' block)?
-  / 'switch' '(' exprs ')' '{' ('case' exprs ':' stmt* / 'default' ':' stmt*)* '}' / 'debugger' end / ID ':' stmt {/ tsdecl} / exprs end
+  / 'switch' '(' exprs ')' '{' ('case' exprs ':' stmt* / 'default' ':' stmt*)* '}' / 'debugger' end / ID ':' stmt {/ tsdecl} / !('{' / 'function' / 'class') exprs end
 decl <- vars end / func / class
 import <- STR / {~'type'? }(ID (',' (named / '*' ~'as' ID))? / named / '*' ~'as' ID) ~'from' STR
 named <- '{' (namedone (',' namedone)* ','?)? '}'
@@ -90,17 +90,17 @@ assign <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '>>=' / '>>>=
 binop <- '+' / '-' / '*' / '/' / '%' / '**' / '===' / '!==' / '==' / '!=' / '<=' / '>=' / '<<' / '>' '>' '>' / '>' '>' / '<' / '>' / '&&' / '||' / '??' / '&' / '|' / '^' / 'in' / 'instanceof'
 operand <- prefix* primary postfix* (!NL ('++' / '--'))?{ ((~'as' / ~'satisfies') ('const' / typex) / '!' !NL)*}
 prefix <- '+' / '-' / '!' / '~' / '++' / '--' / 'typeof' / 'void' / 'delete' / ~'await' &operandstart
-operandstart <- ID / NUM / STR / '(' / '[' / 'this' / 'new' / 'function' / 'import' / 'super'
-postfix <- ('.' / '?.') '#'? name / '?.' '(' args ')' / '?.' '[' exprs ']' / {typeargs? }'(' args ')' / '[' exprs ']' / STR{ / '!' &('.' / '[' / '(' / ')')}
+operandstart <- ID / NUM / STR / TH / '(' / '[' / 'this' / 'new' / 'function' / 'import' / 'super'
+postfix <- ('.' / '?.') '#'? name / '?.' '(' args ')' / '?.' '[' exprs ']' / {typeargs? }'(' args ')' / '[' exprs ']' / STR / TH exprs (TM exprs)* TT{ / '!' &('.' / '[' / '(' / ')')}
 args <- ((('...'? expr) (',' '...'? expr)*) ','?)?
-primary <- ~'async'? 'function' '*'? ID? {generics? }params{ ret?} block / class / 'new' ('.' name / primary (('.' '#'? name) / '[' exprs ']')* {typeargs? }('(' args ')')?) / 'this' / 'super' / 'null' / 'true' / 'false' / 'import' / NUM / STR / CHR / ID / '#' ID
+primary <- ~'async'? 'function' '*'? ID? {generics? }params{ ret?} block / class / 'new' ('.' name / primary (('.' '#'? name) / '[' exprs ']')* {typeargs? }('(' args ')')?) / 'this' / 'super' / 'null' / 'true' / 'false' / 'import' / NUM / STR / TH exprs (TM exprs)* TT / ID / '#' ID
   / '(' exprs ')' / '[' (','* '...'? expr)* ','* ']' / '{' (prop (',' prop)* ','?)? '}'
 prop <- '...' expr / accessor {generics? }params{ ret?} block / propname ':' expr / ID ('=' expr)?
 {type <- ':' typex}
 {ret <- ':' (~'asserts'? (ID / 'this') ~'is' typex / typex)}
 {typex <- ('new'? generics? params '=>' typex) / '|'? typeone (('|' / '&') typeone)* ('extends' typex '?' typex ':' typex)?}
 {typeone <- (~'keyof' / ~'readonly' / ~'unique' / ~'infer' / 'typeof')* typebase ('[' typex? ']' !NL)*}
-{typebase <- '(' typex ')' / '[' (tupleone (',' tupleone)* ','?)? ']' / '{' (typemember (';' / ',' / NL / &'}'))* '}' / 'void' / 'null' / 'this' / 'true' / 'false' / STR / '-'? NUM / 'import' '(' STR ')' ('.' ID)* typeargs? / ID ('.' ID)* typeargs?}
+{typebase <- '(' typex ')' / '[' (tupleone (',' tupleone)* ','?)? ']' / '{' (typemember (';' / ',' / NL / &'}'))* '}' / 'void' / 'null' / 'this' / 'true' / 'false' / STR / TH typex (TM typex)* TT / '-'? NUM / 'import' '(' STR ')' ('.' ID)* typeargs? / ID ('.' ID)* typeargs?}
 {tupleone <- '...'? (ID '?'? ':')? typex '?'?}
 {typemember <- modifier* ('[' ID (':' typex / 'in' typex (~'as' typex)?) ']' ('-' / '+')? '?'? type? / 'new'? generics? params ret? / (~'get' / ~'set')? propname '?'? (generics? params ret? / type)?)}
 {typeargs <- '<' typex (',' typex)* '>'}
@@ -344,3 +344,11 @@ def _variant(text: str, full: bool) -> str:
 TEXTS = {
     "python": PYTHON, "javascript": _variant(SCRIPT, False), "typescript": _variant(SCRIPT, True), "java": JAVA, "go": GO, "c": _variant(C, False), "cpp": _variant(C, True), "rust": RUST,
 }
+
+# For each language: rules that end at a code, the code, and the lexemes that must not stand before it (see `peg.Grammar`).
+_BLOCKS = "{ } if else for while do switch case default try catch finally"
+BOUNDS = {
+    "python": ("simple", "L", ""), "javascript": ("stmt", ";", f"{_BLOCKS} function class"), "typescript": ("stmt", ";", f"{_BLOCKS} function class"),
+    "java": ("stmt member", ";", f"{_BLOCKS} class interface enum synchronized"), "go": ("stmt", ";", "{ } if else for switch case default select func"),
+    "c": ("top stmt field", ";", _BLOCKS), "cpp": ("top stmt field", ";", f"{_BLOCKS} template namespace"), "rust": ("stmt item", ";", "{ } if else match for while loop fn impl trait mod unsafe async"),
+}

@@ -1,50 +1,58 @@
 """Packrat parsing of expression grammars over token codes.
 
 A grammar is text: `rule <- expression` by line. Expressions know sequence, ordered choice `/`, `*`, `+`, `?`, `&`,
-`!`, brackets, names of rules, the terminals ID, NUM, STR, CHR, NEWLINE, INDENT and DEDENT, the predicate NL (a line
-end stands before the token), and literal lexemes in quotes (`~'x'` is a word that may also be an identifier).
-A source is cut into tokens, each token is one character of a code string, and the grammar runs over that string.
+`!`, brackets, names of rules, the terminals ID, NUM, STR, CHR, NEWLINE, INDENT, DEDENT and TH, TM, TT (head, middle
+and tail of a template), the predicate NL (a line end stands before the token), and literal lexemes in quotes
+(`~'x'` is a word that may also be an identifier). A source is cut into tokens, each token is one character of a code
+string, and the grammar runs over that string. Each rule becomes one Python function: once without any bookkeeping,
+to recognise valid texts, and once with every terminal on its own, to tell the furthest token where one failed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-BASE = {"ID": "i", "NUM": "n", "STR": "s", "CHR": "c", "NEWLINE": "L", "INDENT": "I", "DEDENT": "D"}
+BASE = {"ID": "i", "NUM": "n", "STR": "s", "CHR": "c", "NEWLINE": "L", "INDENT": "I", "DEDENT": "D", "TH": "h", "TM": "m", "TT": "t"}
 BROKEN = "\x01"
 CONFLICT = "\x02"
+END = "\x00"
 _NOTATION = re.compile(r"\s*(?:(~?'[^']+')|([A-Za-z_]\w*)|([()/*+?&!.]))")
 _OPEN = 0xE000
+SEEN_MOST = 200_000
 
 
 class Grammar:
-    """A compiled grammar. `match(codes, nl)` gives (end of the start rule or -1, furthest token that was looked at)."""
+    """A compiled grammar. `valid(codes, nl)` tells whether the start rule holds; `furthest(codes, nl)` gives the furthest token that no terminal took."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, rules: str = "", stop: str = "", without: str = "") -> None:
+        """`rules` names rules that look no further than the code `stop` where none of the lexemes `without` stands before it.
+
+        Their results depend on the codes up to there alone, so they are kept over files, in tables that are emptied
+        when they hold SEEN_MOST entries.
+        """
         self.codes: dict[str, str] = {}
         self.soft: list[str] = []
-        rules = {}
+        parts = {}
         for line in re.sub(r"\n[ \t]+", " ", text.strip()).splitlines():
             if line.strip() and not line.startswith("#"):
                 name, body = line.split("<-", 1)
-                rules[name.strip()] = self._parse(body)
-        self.rules = rules
-        self.start = next(iter(rules))
+                parts[name.strip()] = self._parse(body)
+        self.rules = parts
+        self.start = next(iter(parts))
         self.words = {w for w in self.codes if w[0].isalpha() or w[0] == "_"}
         signs = sorted((w for w in self.codes if w not in self.words), key=len, reverse=True)
+        self.sign_list = signs
         self.signs = "|".join(map(re.escape, signs))
         self.ids = "i" + "".join(self.soft)
-        self.memo: dict[str, dict[int, int]] = {}
-        self.text = ""
-        self.nl: list[bool] | bytearray = []
-        self.far = 0
         self._first = self._firsts()
         self._flat = self._flat_rules()
         self._leaf: dict[str, str | None] = {}
-        self._run: dict[str, Callable[[int], int]] = {}
-        for name in rules:
-            self._run[name] = self._rule(name)
+        uses = [n for r in parts.values() for n in self._mentions(r)]
+        self._kept = {r for r in parts if uses.count(r) > 1 and r not in self._flat}
+        self._bounded = rules.split()
+        self._shape = f"[^{re.escape(stop + ''.join(self.codes.get(w, '') for w in without.split()))}\x00]+{stop}"
+        self._fast = self._compile(False)
+        self._slow = self._compile(True)
 
     # Reading the notation.
 
@@ -141,14 +149,14 @@ class Grammar:
 
     # Expressions without recursion become one regular expression with atomic groups, which is what PEG means by them.
 
-    def _names(self, node) -> set[str]:
+    def _mentions(self, node) -> list[str]:
         if node[0] == "rule":
-            return {node[1]}
-        return set().union(*(self._names(n) for n in (node[1] if node[0] in ("seq", "choice") else node[1:]) if isinstance(n, tuple)))
+            return [node[1]]
+        return [m for n in (node[1] if node[0] in ("seq", "choice") else node[1:]) if isinstance(n, tuple) for m in self._mentions(n)]
 
     def _flat_rules(self) -> set[str]:
         """Rules that reach no rule which reaches itself."""
-        direct = {r: self._names(n) for r, n in self.rules.items()}
+        direct = {r: set(self._mentions(n)) for r, n in self.rules.items()}
         flat: set[str] = set()
         while fresh := {r for r, uses in direct.items() if r not in flat and uses <= flat}:
             flat |= fresh
@@ -161,7 +169,7 @@ class Grammar:
         if kind == "id":
             return f"[{re.escape(self.ids)}]"
         if kind == "any":
-            return "(?s:.)"
+            return "[^\x00]"
         if kind == "nl":
             return None
         if kind == "rule":
@@ -182,115 +190,163 @@ class Grammar:
                 return None
         return "".join(parts) if kind == "seq" else f"(?>{'|'.join(parts)})"
 
-    # Building matchers: position in, end or -1 out.
-
-    def _rule(self, name: str) -> Callable[[int], int]:
-        run = self._build(self.rules[name])
-        memo = self.memo.setdefault(name, {})
-        get = memo.get
-
-        def rule(pos: int) -> int:
-            end = get(pos)
-            if end is None:
-                memo[pos] = end = run(pos)
-            return end
-
-        return rule
-
-    def _build(self, node) -> Callable[[int], int]:
-        regex = self._as_regex(node)
-        if regex is not None:
-            match = re.compile(regex).match
+    # Writing functions: position in, end or -1 out.
+
+    def _compile(self, track: bool) -> dict:
+        space: dict = {"T": "", "NL": b"", "far": 0}
+        memos = sorted(self._kept)
+        lines = []
+        self._space, self._track, self._names_used = space, track, 0
+        for name in memos:
+            space[f"M_{name}"] = {}
+        for name, node in self.rules.items():
+            if not track and self._as_regex(("rule", name)) is not None:
+                continue
+            body: list[str] = []
+            self._emit(node, "p", "q", "    ", body, False)
+            inner = f"r_{name}"
+            if name in self._bounded and not track:
+                space["SHAPE"], space[f"S_{name}"] = re.compile(self._shape).match, {}
+                inner, seen = f"whole_{name}", f"S_{name}"
+                lines += [
+                    f"def r_{name}(p):", "    m = SHAPE(T, p)", "    if m is None:", f"        return {inner}(p)", "    key = KEYS[p:m.end()]", f"    n = {seen}.get(key)",
+                    "    if n is None:", f"        q = {inner}(p)", f"        if len({seen}) > {SEEN_MOST}:", f"            {seen}.clear()", f"        {seen}[key] = q - p if q >= 0 else -1", "        return q",
+                    "    return p + n if n >= 0 else -1",
+                ]
+            lines.append(f"def {inner}(p):")
+            if track:
+                lines.append("    global far")
+            if name in self._kept:
+                lines += [f"    q = M_{name}.get(p)", "    if q is not None:", "        return q", *body, f"    M_{name}[p] = q", "    return q"]
+            else:
+                lines += [*body, "    return q"]
+        exec("\n".join(lines), space)
+        space["memos"] = [space[f"M_{name}"] for name in memos]
+        return space
 
-            def leaf(pos: int) -> int:
-                m = match(self.text, pos)
-                if m is None:
-                    if pos > self.far:
-                        self.far = pos
-                    return -1
-                end = m.end()
-                if end > self.far:
-                    self.far = end
-                return end
+    def _new(self) -> str:
+        self._names_used += 1
+        return f"v{self._names_used}"
 
-            return leaf
+    def _emit(self, node, src: str, dst: str, pad: str, out: list[str], quiet: bool) -> None:
+        """Lines that set `dst` to the end of `node` from `src`, or to -1. `quiet`: inside a predicate, where failures tell nothing."""
         kind = node[0]
+        failed = self._track and not quiet
+        test = {"code": lambda: f"T[{src}] == {node[1]!r}" if node[0] == "code" else "", "id": lambda: f"T[{src}] in {self.ids!r}", "any": lambda: f"T[{src}] != '\\x00'"}
+        if kind in test:
+            if failed:
+                out += [f"{pad}if {test[kind]()}:", f"{pad}    {dst} = {src} + 1", f"{pad}else:", f"{pad}    if {src} > far:", f"{pad}        far = {src}", f"{pad}    {dst} = -1"]
+            else:
+                out.append(f"{pad}{dst} = {src} + 1 if {test[kind]()} else -1")
+            return
         if kind == "nl":
-            return lambda pos: pos if pos < len(self.nl) and self.nl[pos] else -1
+            out.append(f"{pad}{dst} = {src} if NL[{src}] else -1")
+            return
+        if not self._track and kind != "rule" or not self._track and node[1] in self._flat:
+            regex = self._as_regex(node)
+            if regex is not None:
+                name = self._new().upper()
+                self._space[name] = re.compile(regex).match
+                first, empty = self._first_of(node, self._first)
+                call = f"m.end() if (m := {name}(T, {src})) else -1"
+                if kind == "?" or kind == "*":
+                    call = f"m.end() if (m := {name}(T, {src})) else {src}"
+                if first is not None and not empty:
+                    call = f"(m.end() if (m := {name}(T, {src})) else -1) if T[{src}] in {''.join(sorted(first))!r} else -1"
+                elif kind in "?*" and (first := self._first_of(node[1], self._first))[0] is not None and not first[1]:
+                    call = f"({call}) if T[{src}] in {''.join(sorted(first[0]))!r} else {src}"
+                out.append(f"{pad}{dst} = {call}")
+                return
         if kind == "rule":
-            name, table = node[1], self._run
-            return lambda pos: table[name](pos)
+            first, empty = self._first[node[1]]
+            call = f"r_{node[1]}({src})"
+            if not self._track and first is not None and not empty:
+                call = f"{call} if T[{src}] in {''.join(sorted(first))!r} else -1"
+            if self._track and quiet:
+                keep = self._new()
+                out += [f"{pad}{keep} = far", f"{pad}{dst} = {call}", f"{pad}far = {keep}"]
+            else:
+                out.append(f"{pad}{dst} = {call}")
+            return
         if kind in "*+":
-            run, least = self._build(node[1]), kind == "+"
-
-            def many(pos: int) -> int:
-                end = run(pos)
-                if end < 0:
-                    return -1 if least else pos
-                while True:
-                    pos, end = end, run(end)
-                    if end <= pos:
-                        return pos
-
-            return many
-        if kind == "?":
-            run = self._build(node[1])
-
-            def maybe(pos: int) -> int:
-                end = run(pos)
-                return pos if end < 0 else end
-
-            return maybe
-        if kind == "&":
-            run = self._build(node[1])
-            return lambda pos: pos if run(pos) >= 0 else -1
-        if kind == "!":
-            run = self._build(node[1])
-            return lambda pos: pos if run(pos) < 0 else -1
+            step = self._new()
+            if kind == "+":
+                self._emit(node[1], src, dst, pad, out, quiet)
+                out.append(f"{pad}while {dst} >= 0:")
+            else:
+                if src != dst:
+                    out.append(f"{pad}{dst} = {src}")
+                out.append(f"{pad}while True:")
+            self._emit(node[1], dst, step, pad + "    ", out, quiet)
+            out += [f"{pad}    if {step} <= {dst}:", f"{pad}        break", f"{pad}    {dst} = {step}"]
+            return
+        if kind in "?&!":
+            step = self._new()
+            self._emit(node[1], src, step, pad, out, quiet or kind in "&!")
+            good, bad = {"?": (step, src), "&": (src, "-1"), "!": ("-1", src)}[kind]
+            out.append(f"{pad}{dst} = {good} if {step} >= 0 else {bad}")
+            return
         if kind == "seq":
-            merged, part = [], []
-            for n in node[1]:  # neighbours without recursion are matched together
-                if self._as_regex(n) is not None:
-                    part.append(n)
-                    continue
-                if part:
-                    merged.append(("seq", part))
-                merged.append(n)
-                part = []
-            if part:
-                merged.append(("seq", part))
-            runs = [self._build(n) for n in merged]
-
-            def sequence(pos: int) -> int:
-                for run in runs:
-                    pos = run(pos)
-                    if pos < 0:
-                        return -1
-                return pos
-
-            return sequence
-        options = [(self._first_of(n, self._first), self._build(n)) for n in node[1]]
-        table: dict[str, list] = {}
-        default = [run for (first, empty), run in options if first is None or empty]
-        every = frozenset().union(*(f for (f, _), _ in options if f is not None))
-        for c in every:
-            table[c] = [run for (first, empty), run in options if first is None or empty or c in first]
-
-        def choice(pos: int) -> int:
-            text = self.text
-            if pos > self.far:
-                self.far = pos
-            for run in table.get(text[pos], default) if pos < len(text) else default:
-                end = run(pos)
-                if end >= 0:
-                    return end
-            return -1
+            parts = list(node[1])
+            if not self._track:  # neighbours without recursion are matched together
+                parts, run = [], []
+                for n in [*node[1], None]:
+                    if n is not None and self._as_regex(n) is not None:
+                        run.append(n)
+                        continue
+                    if run:
+                        parts.append(run[0] if len(run) == 1 else ("seq", run))
+                    parts += [n] if n is not None else []
+                    run = []
+                if len(parts) == 1:
+                    self._emit(parts[0], src, dst, pad, out, quiet)
+                    return
+            at = src
+            for k, n in enumerate(parts):
+                self._emit(n, at, dst, pad, out, quiet)
+                at = dst
+                if k < len(parts) - 1:
+                    out.append(f"{pad}if {dst} >= 0:")
+                    pad += "    "
+            return
+        start, c = self._new(), self._new()
+        out += [f"{pad}{start} = {src}", f"{pad}{c} = T[{start}]"]
+        if failed:
+            out += [f"{pad}if {start} > far:", f"{pad}    far = {start}"]
+        options = [(*self._first_of(n, self._first), n) for n in node[1]]
+        always = [k for k, (first, empty, _) in enumerate(options) if first is None or empty]
+        groups: dict[tuple, set] = {}
+        for code in frozenset().union(*(f for f, _, _ in options if f is not None)):
+            groups.setdefault(tuple(k for k, (f, e, _) in enumerate(options) if f is None or e or code in f), set()).add(code)
+        word = "if"
+        for chosen, codes in sorted(groups.items(), key=lambda x: ("i" not in x[1], "s" not in x[1], x[0])):
+            out.append(f"{pad}{word} {c} in {''.join(sorted(codes))!r}:")
+            self._options([options[k][2] for k in chosen], start, dst, pad + "    ", out, quiet)
+            word = "elif"
+        out.append(f"{pad}else:" if word == "elif" else f"{pad}if True:")
+        self._options([options[k][2] for k in always], start, dst, pad + "    ", out, quiet)
+
+    def _options(self, nodes: list, src: str, dst: str, pad: str, out: list[str], quiet: bool) -> None:
+        if not nodes:
+            out.append(f"{pad}{dst} = -1")
+            return
+        for k, n in enumerate(nodes):
+            if k:
+                out.append(f"{pad}if {dst} < 0:")
+                pad += "    "
+            self._emit(n, src, dst, pad, out, quiet)
+
+    def _run(self, space: dict, codes: str, nl: bytes | bytearray, keys: str | None) -> int:
+        for memo in space["memos"]:
+            memo.clear()
+        space["T"], space["NL"], space["far"], space["KEYS"] = codes + END, nl, 0, keys if keys is not None else codes
+        return space[f"r_{self.start}"](0)
 
-        return choice
+    def valid(self, codes: str, nl: bytes | bytearray = b"", keys: str | None = None) -> bool:
+        """Whether the start rule takes all codes. `keys`: the codes in a form that shows line ends too, where the grammar asks for them."""
+        return self._run(self._fast, codes, nl, keys) == len(codes)
 
-    def match(self, codes: str, nl: list[bool] | bytearray = b"") -> tuple[int, int]:
-        self.text, self.nl, self.far = codes, nl, 0
-        for memo in self.memo.values():
-            memo.clear()
-        end = self._run[self.start](0)
-        return end, max(self.far, end)
+    def furthest(self, codes: str, nl: bytes | bytearray = b"") -> int:
+        """The furthest place where a terminal failed; failures inside predicates do not count."""
+        end = self._run(self._slow, codes, nl, None)
+        return max(self._slow["far"], end)

@@ -40,7 +40,7 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_filled(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.filled(table(spark, d, "extract_stats"), parsing.parse(table(spark, d, "source_files")))
+    return parsing.filled(table(spark, d, "extract_stats"), parsing.parse(table(spark, d, "source_files")), table(spark, d, "manifest"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

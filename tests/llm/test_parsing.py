@@ -48,3 +48,48 @@ def test_rows_and_rates(spark):
     assert next(r for r in got.collect() if r.file_id == 7).line == 20001
     assert {(r.repo, r.lang): (r.files, r.parse_error) for r in parsing.rates(got).collect()} == {("r", "python"): (4, 3), (None, "python"): (1, 0)}
     assert parsing.parse(files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "lang, text, want",
+    [
+        ("python", "import os, sys,, re\n", ("syntax", 15)),
+        ("python", "def f():\n    return (1\n", ("truncated", 22)),
+        ("python", 'x = f"{a["b"]}"\n', None),
+        ("javascript", "let a = `x${b + `y${c}` }z`; // end", None),
+        ("javascript", "let a = `x${b + }z`;", ("syntax", 8)),
+        ("javascript", '{ "a": 1, "b": [2] }', ("syntax", 5)),
+        ("c", "int f(void) {\n#if A\n return 1;\n#elif B\n return 2;\n#else\n return 3;\n#endif\n}\n", None),
+        ("c", "int f(void) {\n#if A\n return 1;\n#else\n return 3 +;\n#endif\n}\n", ("syntax", 48)),
+        ("c", "#if 0\n any ( thing\n#endif\nint x;\n", None),
+        ("c", "#if 0\n<<<<<<< HEAD\n#endif\nint x;\n", ("conflict", 6)),
+        ("c", "#if A\nint x;\n", ("truncated", 12)),
+        ("rust", 'fn main() { /* a /* b */ c */ let x = r####"a"####; }', None),
+        ("cpp", 'auto s = R"xy(a)" )xy"; int y;', None),
+        ("python", "x = " + "(" * 90000 + ")" * 90000 + "\n", ("nesting", 0)),
+    ],
+)
+def test_places_branches_and_templates(lang, text, want):
+    import sys
+
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(parsing.DEPTH)
+    try:
+        assert parsing.parser(lang).check(text) == want
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def test_kept_statements_do_not_change_verdicts():
+    p = parsing.parser("java")
+    lines = ["class A { int x = 3; void f() { a = b; } }", "class A { int x = ; }", "class A { void f() { a = ; } int x = 3; }", "class A { int x = 3; int x = ; }"]
+    fresh = [parsing.Parser("java").check(t) for t in lines]
+    assert [p.check(t) for t in lines for _ in range(2)][::2] == fresh == [p.check(t) for t in lines]
+
+
+def test_filled_by_source_and_null_repo(spark):
+    files = spark.createDataFrame([(1, None, "s", "a.py", "python", "x ="), (2, None, "s", "b.py", "python", "x = 1\n")], "file_id long, repo string, sha string, file string, lang string, content string")
+    manifest = spark.createDataFrame([(None, "s", "a.py", "ai"), (None, "s", "a.py", "ai"), (None, "s", "b.py", "human")], "repo string, sha string, file string, source string")
+    stats = spark.createDataFrame([("2026-01-01", s, None, "python", 1) for s in ("ai", "human", "other")], "run_at string, source string, repo string, lang string, files long")
+    got = {r.source: (r.files, r.parse_error) for r in parsing.filled(stats, parsing.parse(files), manifest).collect()}
+    assert got == {"ai": (1, 1), "human": (1, 0), "other": (None, None)}
