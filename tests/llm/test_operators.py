@@ -1,6 +1,7 @@
 """The operators against brute force on small tables; nulls, empty and long texts, ties, repeated rows, clashing names."""
 
 import random
+from array import array
 import re
 import unicodedata
 from collections import defaultdict
@@ -8,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from glosswork.llm import embedded, formatdup, handwritten, lang, leaks, mixing, queries, sampling, sentences
+from glosswork.llm import classes, embedded, formatdup, handwritten, lang, leaks, mixing, queries, sampling, sentences
 
 COMMENTS = "comment_id long, repo string, text string, text_lang string, exclude string, code string, lang string, key string, bucket string"
 
@@ -65,13 +66,12 @@ def test_kinds_of_files(spark):
     packed = "".join(f"for(var v=0;v<{k};v++)u[v]=i(v);var h{k}=function(w){{return w+{k}}};" for k in range(20))
     rows = [
         (1, "a/a", "s", "src/one.py", "python", getters("alpha")), (2, "a/a", "s", "src/two.py", "python", getters("beta")), (3, "a/a", "s", "src/hand.py", "python", hand),
-        (4, "b/b", "s", "lib/data.py", "python", table), (5, "b/b", "s", "static/x.js", "javascript", packed), (6, "b/b", "s", "vendor/libx/a.py", "python", hand.replace("limit", "most")),
+        (4, "b/b", "s", "lib/data.py", "python", table), (5, "b/b", "s", "static/x.js", "javascript", packed), (6, "b/b", "s", "vendor/libx/a.py", "python", hand.replace("limit", "most")), (11, "c/c", "s", "pkg/third_party/libx-1.2/b.py", "python", "def only(a):\n    return a\n"), (12, "d/libx", "s", "vendor/libx/a.py", "python", "import this\n"), (13, "d/d", "s", "vendor_portal/liby/a.py", "python", "import that\n"),
         (7, "b/b", "s", "x.py", "python", ""), (8, None, None, None, None, "\n"), (9, "b/b", "s", "y.py", "python", None), (None, "b/b", "s", "z.py", "python", hand),
     ]
     files = spark.createDataFrame(rows, "file_id long, repo string, sha string, file string, lang string, content string").withColumn("cluster", F.lit("x"))
-    got = {r.file_id: (r.kind, r.cluster) for r in handwritten.classified(files).collect()}
-    assert {k: v[0] for k, v in got.items()} == {1: "generated", 2: "generated", 3: None, 4: "blob", 5: "minified", 6: "vendored", 7: None, 8: None}
-    assert got[1][1] == got[2][1] == 1
+    got = {r.file_id: r.kind for r in handwritten.classified(files).collect()}
+    assert got == {1: "generated", 2: "generated", 3: None, 4: "blob", 5: "minified", 6: "vendored", 7: None, 8: None, 11: "vendored", 12: None, 13: None}
     assert handwritten.classified(files.where("file_id < 0")).count() == 0
 
 
@@ -82,8 +82,6 @@ def test_kinds_by_ratio_and_family(spark):
     table = "rows = [\n" + "".join(f"  [{k}, [{k}, '{k}'], {{{k}: '{k}'}}, ({k}, -{k}), f({k}), {k} * {k}, not {k}, {k} + {k}, x[{k}], y.z, {k} / {k}, {k} % {k}, {k} < {k}],\n" for k in range(200)) + "]\n"
     rows = [(1, "a/a", long), (2, "a/a", table), *((10 + k, "b/b", f"n_{k} = " + " ".join(f"'{k * j:x}'" for j in range(9 + k // 3)) + "\n") for k in range(6)), (20, "c/c", "x = f(a)\n")]
     files = spark.createDataFrame([(i, r, "s", f"src/{i}.py", "python", c) for i, r, c in rows], "file_id long, repo string, sha string, file string, lang string, content string")
-    counts = {i: handwritten.signature(handwritten.masked(c, "python")[0]) for i, _, c in rows}
-    assert len(counts[1][1]) > 75 and len(counts[2][1]) > 45 and counts[10][0] < 15
     got = {r.file_id: r.kind for r in handwritten.classified(files).collect()}
     assert got == {1: "generated", 2: "blob", **{10 + k: "blob" for k in range(6)}, 20: None}
 
@@ -107,7 +105,39 @@ def test_copies_over_repositories(spark):
 def test_components_of_a_chain(spark):
     nodes = spark.range(40).withColumnRenamed("id", "file_id")
     edges = nodes.where("file_id % 10 < 9").select("file_id", (F.col("file_id") + 1).alias("other"))
-    assert all(r.cluster == r.file_id // 10 * 10 for r in handwritten.components(nodes, edges).collect())
+    got = classes.components(edges.union(edges), "file_id", "other", "cluster").collect()
+    assert {r.file_id: r.cluster for r in got} == {i: i // 10 * 10 for i in range(40)} and len(got) == 40
+    assert classes.components(edges.limit(0), "file_id", "other", "cluster").count() == 0
+
+
+def test_links_of_units_against_all_pairs(spark, data):
+    """Of the pairs of similarity 0.8 or more between the units that are divisible by 100 and all units, nine in ten or more share a class; none below is linked."""
+    rows = handwritten.profiles(spark.read.parquet(data.replace("0.001", "0.01") + "/source_files.parquet")).where("view = 0 AND n > 0")
+    shapes = rows.groupBy("unit").agg(F.min("codes").alias("codes"))
+    sets = {r.unit: frozenset(handwritten.shingles(bytes(r.codes)).tolist()) for r in shapes.collect()}
+    found = handwritten.links(shapes)
+    links = [(r.unit, r.other) for r in found.collect()]
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+    label = {r.unit: r.cluster for r in classes.components(found, "unit", "other", "cluster").collect()}
+    pairs = [(a, b) for a in sets if a % 100 < 10 for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    print(len(pairs))
+    assert len(pairs) > 20 and sum(label.get(a, a) == label.get(b, b) for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_hot_buckets_are_led_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(handwritten, "PART", 4)
+    codes = [array("H", [*range(k, k + 60), *range(1000, 1400)]).tobytes() for k in range(30)]
+    shapes = spark.createDataFrame([(k, c) for k, c in enumerate(codes)], "unit long, codes binary")
+    label = {r.unit: r.cluster for r in classes.components(handwritten.links(shapes), "unit", "other", "cluster").collect()}
+    assert label == {k: 0 for k in range(30)}
+
+
+def test_nothing_is_found_without_clusters(spark, monkeypatch, data):
+    files = spark.read.parquet(data + "/source_files.parquet")
+    assert handwritten.classified(files).where("kind IS NOT NULL").count() > 0
+    single = handwritten.profiles(files.where("file_id = -1"))
+    monkeypatch.setattr(handwritten, "profiles", lambda f: single)
+    assert handwritten.classified(files).where("kind IS NOT NULL").count() == 0
 
 
 # p4
