@@ -114,7 +114,7 @@ def test_links_of_units_against_all_pairs(spark, data):
     """Of the pairs of similarity 0.8 or more between the units that are divisible by 100 and all units, nine in ten or more share a class; none below is linked."""
     rows = handwritten.profiles(spark.read.parquet(data.replace("0.001", "0.01") + "/source_files.parquet")).where("view = 0 AND n > 0")
     shapes = rows.groupBy("unit").agg(F.min("codes").alias("codes"))
-    sets = {r.unit: frozenset(handwritten.shingles(bytes(r.codes)).tolist()) for r in shapes.collect()}
+    sets = {r.unit: handwritten.shingles(bytes(r.codes)) for r in shapes.collect()}
     found = handwritten.links(shapes)
     links = [(r.unit, r.other) for r in found.collect()]
     assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
@@ -126,6 +126,7 @@ def test_links_of_units_against_all_pairs(spark, data):
 
 def test_hot_buckets_are_led_in_parts(spark, monkeypatch):
     monkeypatch.setattr(handwritten, "PART", 4)
+    monkeypatch.setattr(handwritten, "COARSE", 64)
     codes = [array("H", [*range(k, k + 60), *range(1000, 1400)]).tobytes() for k in range(30)]
     shapes = spark.createDataFrame([(k, c) for k, c in enumerate(codes)], "unit long, codes binary")
     label = {r.unit: r.cluster for r in classes.components(handwritten.links(shapes), "unit", "other", "cluster").collect()}
