@@ -1,4 +1,4 @@
-"""Text features of comments and code as column expressions that stay in whole-stage code."""
+"""Text functions of comments and code as column expressions, without Python per row."""
 
 from __future__ import annotations
 
@@ -27,30 +27,42 @@ def norm_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
+def normalize(text: Column) -> Column:
+    """Curly quotes as plain ones; dashes stay as they are."""
+    return F.translate(text, "‘’“”", "''\"\"")
+
+
 def strip_refs(text: Column) -> Column:
-    """URLs and issue references replaced by a space."""
-    text = F.regexp_replace(text, r"(?i)(?:https?://|www\.)\S+", " ")
-    return F.regexp_replace(text, r"#\d+|\b[A-Z]{2,}-\d+\b|\b[gG][hH]-\d+\b", " ")
+    """URLs, then issue references (#1 to #9999999, ABC-12, gh-7) replaced by a space."""
+    text = F.regexp_replace(text, r"https?://\S+|www\.\S+", " ")
+    return F.regexp_replace(text, r"(?<![\w&])#\d{1,7}\b|\b[A-Z][A-Z0-9]+-\d+\b|\b(?:gh|GH)-\d+\b", " ")
+
+
+def match_view(text: Column) -> Column:
+    """The form in which phrases are looked for: lower case, `&` as `and`, hyphens and runs of white space as one space."""
+    plain = F.replace(F.replace(F.lower(normalize(text)), F.lit("&"), F.lit(" and ")), F.lit("-"), F.lit(" "))
+    return F.regexp_replace(plain, r"\s+", " ")
 
 
 def comment_words(text: Column) -> Column:
     """Words of a comment in order: ASCII, lower case, without references, a closing `'s` and single letters. Null for null."""
-    plain = F.lower(F.translate(strip_refs(text), "‘’“”", "''\"\""))
-    words = F.regexp_extract_all(plain, F.lit(r"([a-z][a-z0-9']*)"), 1)
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "'s$", "")), lambda w: F.length(w) >= 2)
+    plain = F.regexp_replace(F.lower(normalize(strip_refs(text))), "'s(?![a-z0-9'])", " ")
+    return F.regexp_extract_all(plain, F.lit(r"([a-z][a-z0-9']+)"), 1)
 
 
 def identifier_words(text: Column) -> Column:
-    """Parts of identifiers in order: split at `_` and at changes of case, lower case, two characters or more."""
-    names = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1)
-    apart = F.transform(names, lambda n: F.regexp_replace(F.regexp_replace(n, "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z])([A-Z][a-z])", "$1_$2"))
-    parts = F.flatten(F.transform(apart, lambda n: F.split(F.lower(n), "_")))
-    return F.filter(parts, lambda p: (F.length(p) >= 2) & ~p.rlike("^[0-9]+$"))
+    """Parts of identifiers in order: split at `_` and at changes of case, lower case, two characters or more, not all digits.
+
+    Digits before an identifier belong to none. All by three patterns over the whole text, so nothing runs for each part.
+    """
+    text = F.regexp_replace(text, r"(?<![A-Za-z0-9_])[0-9]+", "")
+    text = F.regexp_replace(text, "([a-z0-9])(?=[A-Z])|([A-Z])(?=[A-Z][a-z])", "$1$2_")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]+|[0-9]+[a-z][a-z0-9]*"), 0)
 
 
 def content_words(text: Column) -> Column:
     """Distinct parts of identifiers and words of a comment without stop words."""
-    return F.filter(F.array_distinct(identifier_words(strip_refs(text))), lambda w: ~is_stopword(w))
+    return F.array_except(F.array_distinct(identifier_words(normalize(strip_refs(text)))), F.array(*map(F.lit, STOPWORDS)))
 
 
 def overlap(text: Column, code: Column, least: int = 3) -> Column:
@@ -65,8 +77,9 @@ def is_english(text: Column, share: float = 0.12) -> Column:
     ascii_ones = F.regexp_count(text, F.lit("[A-Za-z]"))
     words = comment_words(text)
     stops = F.size(F.filter(words, lambda w: is_stopword(w)))
-    common = (F.size(words) < 6) | (stops >= share * F.size(words))
-    return F.coalesce((letters > 0) & (ascii_ones * 10 >= letters * 9) & common, F.lit(False))
+    plain = (letters > 0) & (ascii_ones * 10 >= letters * 9)
+    common = F.when(F.size(words) < 6, True).otherwise(stops >= share * F.size(words))
+    return F.coalesce(F.when(plain, common).otherwise(False), F.lit(False))
 
 
 def bin100(value: Column) -> Column:

@@ -8,19 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.plans.common import settle
 
+FILE = ("repo", "sha", "file")
 
-def fates(comments: DataFrame) -> DataFrame:
+
+def fates(comments: DataFrame, sources: Sequence[str] | None = None) -> DataFrame:
     """Every comment with its `fate`: excluded_<reason>, non_english, duplicate or kept; the first that holds.
 
     Duplicates have the same source, repo and normal form; the smallest comment_id stays, and rows whose normal form
-    is empty are duplicates. Which row stays is found by a pre-aggregated minimum for each key, so a hot repository
+    is empty are duplicates. Rows of a source outside `sources`, if given, have the fate `unknown_source`. Which row stays is found by a pre-aggregated minimum for each key, so a hot repository
     or a text that a third of the rows share never gathers in one task. Null sources, repos and texts are values.
     """
     key = ["source", "repo", "_key"]
-    early = F.when(F.col("exclude").isNotNull(), F.concat(F.lit("excluded_"), "exclude")).when(~T.is_english(F.col("text")), "non_english")
-    rows = comments.select("comment_id", "source", "repo", "lang", "kind", T.norm_key(F.col("text")).alias("_key"), early.alias("_early"))
-    first = rows.where("_early IS NULL AND _key != ''").groupBy(*key).agg(F.min("comment_id").alias("comment_id")).select("comment_id", F.lit(True).alias("_first"))
+    known = F.lit(True) if sources is None else F.coalesce(F.col("source").isin(*sources), F.lit(False))
+    early = F.when(~known, "unknown_source").when(F.col("exclude").isNotNull(), F.concat(F.lit("excluded_"), "exclude")).when(~T.is_english(F.col("text")), "non_english")
+    # Written once, with the normal form as a digest: it is read twice, and its features are dear.
+    form = T.norm_key(F.col("text"))
+    digest = F.when(form != "", F.md5(form))
+    rows = settle(comments.select("comment_id", "source", "repo", "lang", "kind", digest.alias("_key"), early.alias("_early")))
+    first = rows.where("_early IS NULL AND _key IS NOT NULL").groupBy(*key).agg(F.min("comment_id").alias("comment_id")).select("comment_id", F.lit(True).alias("_first"))
     fate = F.coalesce("_early", F.when(F.col("_first"), "kept").otherwise("duplicate"))
     return rows.join(first, "comment_id", "left").select("comment_id", "source", "repo", "lang", "kind", fate.alias("fate"))
 
@@ -48,19 +55,19 @@ def capped(rows: DataFrame, group: Sequence[str], most: int, seed: int = 0, id_c
 
 
 def attribution(comments: DataFrame, manifest: DataFrame) -> DataFrame:
-    """comment_id, origin: `all` if one merged added range holds the comment's lines, `mixed` if any meets them, else `none`.
+    """The comments with `origin`: `all` if one merged added range holds the comment's lines, `mixed` if any meets them, else `none`.
 
     Files without ranges count as added whole; comments without a file in the manifest have a null origin. The newest
-    delivery of a file counts.
+    delivery of a file counts. Null keys are values.
     """
     newest = manifest.groupBy("repo", "sha", "file").agg(F.max_by("added_ranges", "ingested_at").alias("ranges"))
-    files = newest.select("repo", "sha", "file", merged(F.col("ranges")).alias("ranges"), F.lit(True).alias("_listed"))
-    rows = comments.select("comment_id", "repo", "sha", "file", "start_line", "end_line").join(files, ["repo", "sha", "file"], "left")
+    files = newest.select(*(F.col(k).alias(f"_{k}") for k in FILE), merged(F.col("ranges")).alias("ranges"), F.lit(True).alias("_listed"))
+    rows = comments.join(files, F.expr(" AND ".join(f"{k} <=> _{k}" for k in FILE)), "left")
     s, e = F.col("start_line"), F.col("end_line")
     inside = F.exists("ranges", lambda r: (r[0] <= s) & (e <= r[1]))
     meets = F.exists("ranges", lambda r: (r[0] <= e) & (s <= r[1]))
     origin = F.when(F.col("_listed").isNull(), None).when(F.col("ranges").isNull() | inside, "all").when(meets, "mixed").otherwise("none")
-    return rows.select("comment_id", origin.alias("origin"))
+    return rows.select(*(F.col(c) for c in comments.columns if c != "origin"), origin.alias("origin"))
 
 
 def merged(ranges: Column) -> Column:

@@ -125,7 +125,10 @@ r AS (SELECT {by}, repo, sum(added_lines) AS al, sum(added_nonblank) AS an, sum(
 SELECT {by}, count(*) AS repos, round(sum(c) * 100.0 / nullif(sum(al), 0), 6) AS per100, round(sum(c) * 100.0 / nullif(sum(an), 0), 6) AS per100_nonblank,
   round(sum(cl) / nullif(sum(al), 0), 6) AS line_share, round(quantile_cont(c * 100.0 / nullif(al, 0), 0.5), 6) AS median_per100 FROM r GROUP BY {by}"""
 _STOP = "['" + "', '".join(w.replace("'", "''") for w in T.STOPWORDS) + "']"
-_REFS = r"regexp_replace(regexp_replace(text, '(?i)(?:https?://|www\.)\S+', ' ', 'g'), '#\d+|\b[A-Z]{2,}-\d+\b|\b[gG][hH]-\d+\b', ' ', 'g')"
+# RE2 knows no look-behind: the character before an issue number is matched and put back; a second pass takes numbers that touch.
+_URLS = r"regexp_replace(text, 'https?://\S+|www\.\S+', ' ', 'g')"
+_ISSUE = r"regexp_replace({}, '(^|[^\w&])#\d{{1,7}}\b', '\1 ', 'g')"
+_REFS = rf"regexp_replace({_ISSUE.format(_ISSUE.format(_URLS))}, '\b[A-Z][A-Z0-9]+-\d+\b|\b(?:gh|GH)-\d+\b', ' ', 'g')"
 _WORDS = rf"list_filter(list_transform(regexp_extract_all(lower(translate({_REFS}, '‘’“”', '''''""')), '[a-z][a-z0-9'']*'), lambda w: regexp_replace(w, '''s$', '')), lambda w: length(w) >= 2)"
 
 
