@@ -16,6 +16,7 @@ STEP = 8
 SHARED = (8, 64, 512, 4096)
 FRONTIER = 2000
 FLUSH = 400_000
+FLUSH_BYTES = 64_000_000
 
 
 def letters(text: Column) -> Column:
@@ -33,9 +34,10 @@ def radix_buckets(keys: DataFrame, cap: int) -> tuple[list[tuple[int, list[bytes
     """The oversized prefixes by level, and the length at which the last of them are cut.
 
     At each level buckets of more than max(cap, rows / FRONTIER) rows are split by STEP further bytes; bytes that all
-    keys of every such bucket share are passed over at once. `keys` has the binary column `key`. A level can hold
-    FRONTIER oversized buckets at the most, since each has more than rows / FRONTIER rows, so what reaches the driver
-    is bounded. A bucket that holds copies of one key is not split: the counters take it.
+    keys of every such bucket share are passed over at once. `keys` has the binary column `key`. These levels only
+    spread the rows: a level can hold FRONTIER oversized prefixes at the most, so what reaches the driver is bounded.
+    What is still above `cap` is split further where it is counted (see `_count_buckets`). A bucket that holds copies
+    of one key is not split: the counters take it.
     """
     total = keys.count()
     most = max(cap, -(-total // FRONTIER))
@@ -67,11 +69,11 @@ def bucket_of(key: Column, levels: list[tuple[int, list[bytes]]], deepest: int)
 class Trie:
     """Canonical keys, STEP bytes an edge. A key that shares no further edge is one leaf: [rest of it, copies, smallest id]."""
 
-    __slots__ = ("root", "size")
+    __slots__ = ("root", "size", "bytes")
 
     def __init__(self) -> None:
         self.root: dict = {}
-        self.size = 0
+        self.size = self.bytes = 0
 
     def add(self, key: bytes, n: int, least: int) -> None:
         node, at = self.root, 0
@@ -82,6 +84,7 @@ class Trie:
             if found is None:
                 node[part] = [key[at:], n, least]
                 self.size += 1
+                self.bytes += len(key)
                 return
             if type(found) is dict:
                 node = found
@@ -112,29 +115,51 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pre-aggregation before the shuffle; the trie is given out whenever it holds FLUSH keys."""
+    """Pre-aggregation before the shuffle; the trie is given out whenever it holds FLUSH keys or FLUSH_BYTES of them."""
     trie = Trie()
     for b in batches:
         for key, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             trie.add(key, 1, i)
-        if trie.size > FLUSH:
+        if trie.size > FLUSH or trie.bytes > FLUSH_BYTES:
             yield _batch(list(trie.items()))
             trie = Trie()
     yield _batch(list(trie.items()))
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts the keys of one bucket after another; rows come ordered by bucket."""
-    at: bytes | None = None
-    trie = Trie()
-    for b in batches:
-        for bucket, key, n, least in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if bucket != at:
-                if trie.size:
-                    yield _batch([x for x in trie.items() if x[1] > 1])
-                at, trie = bucket, Trie()
-            trie.add(key, n, least)
-    yield _batch([x for x in trie.items() if x[1] > 1])
+def _bucket_counter(cap: int, least_copies: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts the keys of one bucket after another. Rows come ordered by bucket and key, so that a bucket of more than `cap` keys is split by the bytes at which it is full: all rows of a key stand together."""
+        at = last = None
+        trie = Trie()
+        for b in batches:
+            for bucket, key, n, least in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if bucket != at or key != last and (trie.size >= cap or trie.bytes > FLUSH_BYTES):
+                    if trie.size:
+                        yield _batch([x for x in trie.items() if x[1] >= least_copies])
+                    at, trie = bucket, Trie()
+                trie.add(key, n, least)
+                last = key
+        yield _batch([x for x in trie.items() if x[1] >= least_copies])
+
+    return count
+
+
+def _counted(df: DataFrame, id_col: str, group_col: str, text_col: str, cap: int, least_copies: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, counts): the key and copy_id of every row that has one, written once; key, n and keep_id of each key with so many copies.
+
+    A key is a hash of the group, which spreads the first bytes, the canonical text, and the group itself.
+    """
+    canon = canonical(F.col(text_col))
+    source = df.where(F.col(id_col).isNotNull() & F.col(group_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("copy_id"), F.col(group_col).alias("g"), canon.alias("c")
+    )
+    key = F.concat(F.substring(F.unhex(F.md5(F.col("g").cast("string"))), 1, 8), F.concat(F.col("c"), F.lit("\x00"), F.col("g")).cast("binary"))
+    keys = settle(source.where("c != ''").select(key.alias("key"), "copy_id"))
+    levels, deepest = radix_buckets(keys, cap)
+    partial = keys.mapInArrow(_count_partition, "key binary, n long, keep_id long")
+    placed = partial.select(bucket_of(F.col("key"), levels, deepest).alias("bucket"), "key", "n", "keep_id")
+    ordered = placed.repartition("bucket").sortWithinPartitions("bucket", "key")
+    return keys, ordered.mapInArrow(_bucket_counter(cap, least_copies), "key binary, n long, keep_id long")
 
 
 def copies(df: DataFrame, id_col: str = "comment_id", group_col: str = "repo", text_col: str = "text", cap: int = 50_000) -> tuple[DataFrame, DataFrame]:
@@ -148,15 +173,7 @@ def copies(df: DataFrame, id_col: str = "comment_id", group_col: str = "repo", t
     rows reaches its bucket as one row for each partition. In the join that names the members such a key is salted:
     keys with more rows than a thousandth of the total (a thousand keys at the most) spread over several tasks.
     """
-    canon = canonical(F.col(text_col))
-    source = df.where(F.col(id_col).isNotNull() & F.col(group_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("copy_id"), F.col(group_col).alias("g"), canon.alias("c")
-    )
-    keys = settle(source.where("c != ''").select(F.concat(F.col("g"), F.lit("\x00"), F.col("c")).cast("binary").alias("key"), "copy_id"))
-    levels, deepest = radix_buckets(keys, cap)
-    partial = keys.mapInArrow(_count_partition, "key binary, n long, keep_id long")
-    placed = partial.select(bucket_of(F.col("key"), levels, deepest).alias("bucket"), "key", "n", "keep_id")
-    counted = placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_buckets, "key binary, n long, keep_id long")
+    keys, counted = _counted(df, id_col, group_col, text_col, cap, 2)
     sets = settle(counted.select(F.md5("key").alias("digest"), "n", "keep_id"))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).head().s
     part = max(20_000, -(-total // 1000))
@@ -173,13 +190,9 @@ def copies(df: DataFrame, id_col: str = "comment_id", group_col: str = "repo", t
     return sets, members
 
 
-def collapse(df: DataFrame, id_col: str = "comment_id", group_col: str = "repo", text_col: str = "text") -> DataFrame:
+def collapse(df: DataFrame, id_col: str = "comment_id", group_col: str = "repo", text_col: str = "text", cap: int = 50_000) -> DataFrame:
     """One row for each set of copies and each single record: keep_id, n (its number of copies, 1 for a single one).
 
     Records that `copies` leaves out are not part of the result.
     """
-    _, members = copies(df, id_col, group_col, text_col)
-    more = members.groupBy("keep_id").agg(F.count("*").alias("k"))
-    alone = df.where(F.col(id_col).isNotNull() & F.col(group_col).isNotNull() & (canonical(F.col(text_col)) != ""))
-    kept = alone.select(F.col(id_col).cast("long").alias("keep_id")).join(members.select(F.col("copy_id").alias("keep_id")), "keep_id", "left_anti")
-    return kept.join(more, "keep_id", "left").select("keep_id", (F.coalesce("k", F.lit(0)) + 1).alias("n"))
+    return _counted(df, id_col, group_col, text_col, cap, 1)[1].select("keep_id", "n")

@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 
 # Frequent function words of the languages that share a script.
 SEEDS = {
-    "en": "the is and that when every before after this our each which cannot until without here",
-    "de": "der die das nicht wenn und den ist ohne jeder jede obwohl unser diese wird kann",
-    "fr": "le la les est que et une pas quand chaque avant sans cette notre afin sur",
-    "es": "el los las que cada cuando una esta sin antes nuestra porque aunque para hay",
-    "pt": "os uma não quando cada antes sem nossa porque embora mais na ao para isso",
-    "it": "il gli che ogni quando una senza questa nostro prima perché affinché della sul più",
-    "pl": "nie każdy gdy jest przed bez nasz ten żeby oraz ponieważ choć tego kiedy chyba",
-    "tr": "bu her için değerini önce bir çünkü ve olarak daha kadar yoksa ama gerekir kez",
-    "ru": "не каждый когда если чтобы этот на потому что наш хотя до может который как",
-    "uk": "не кожен коли якщо щоб цей на бо що наш хоча до може який як",
+    "en": "the of and to in is it that for was on are with as be at this have from or by not but what all were when we there can an your which their if do will each about how up out then them these so some would has",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum kann wenn oder ich",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son mais comme nous cette être fait dont aux on si leur ses elle",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando esta ser son dos también fue hay",
+    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso",
+    "it": "di e il la che in un a per è una con del della non le si da i dei al lo gli come più alla ma nel o su sono se anche questo ha delle cui quando essere ogni tra loro due questa",
+    "pl": "w i na z się do nie że jest to o od za przez po jak dla jego ale co przy są tym tego lub być już ze oraz może które który czy ma tylko przed bez gdy tak jako aby nad",
+    "tr": "ve bir bu da de için ile olarak çok daha en ne gibi olan kadar sonra her o ama mi ya değil var ki önce ancak veya bütün bunu onun olur ise şey göre iki çünkü diye",
+    "ru": "и в не на я что он с как это по но они мы из у за то все так же от бы для вы о его к когда если или только до ещё нет ни быть был при чтобы уже этот где она может каждый",
+    "uk": "і в не на що я з як це по але вони ми із у за то все так же від б для ви про його до коли якщо або тільки ще ні бути був при щоб вже цей де вона може та є й кожен",
 }
 LANGS = ("en", "de", "fr", "es", "pt", "it", "pl", "tr", "ru", "uk", "zh", "ja", "ko", "hi", "th", "ar")
 BY_SCRIPT = {"latin": ("en", "de", "fr", "es", "pt", "it", "pl", "tr"), "cyrillic": ("ru", "uk")}
@@ -42,11 +42,17 @@ TOKEN = re.compile(
     r"|(?P<cyrillic>[Ѐ-ӿ]+(?:['’][Ѐ-ӿ]+)?)"
     r"|(?P<cjk>[々〆぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿]+)"
     r"|(?P<ko>[ᄀ-ᇿ가-힯]+)|(?P<th>[฀-๿]+)|(?P<hi>[ऀ-ॣ॰-ॿ]+)|(?P<ar>[؀-ۿݐ-ݿ]+)"
+    r"|(?P<other>[^\W\d_]+)"
 )
+# First and last letters of scripts that one language has to itself; any other script is `und`.
+ALONE = {"el": "Ͱ-Ͽ", "he": "֐-׿", "hy": "Ա-֏", "ka": "Ⴀ-ჿ", "bn": "ঀ-৿", "pa": "਀-੿", "gu": "઀-૿", "ta": "஀-௿", "te": "ఀ-౿", "kn": "ಀ-೿", "ml": "ഀ-ൿ", "si": "඀-෿", "lo": "຀-໿", "my": "က-႟", "am": "ሀ-፿", "km": "ក-៿", "bo": "ༀ-࿿"}
+UND = "und"
+# A stretch of so many words of which fewer than this share are known is in no language of the model.
+FIT_WORDS, FIT_SHARE = 6, 0.34
 KANA = re.compile(r"[぀-ゟァ-ヺー]")
 DEEP = 6.0
 SWITCH = 10.0
-SAMPLE = 40_000
+SAMPLE, OWN_PARTS = 40_000, 200
 
 
 def label(value: str | None) -> str | None:
@@ -82,8 +88,13 @@ class Model:
     def score(self, kind: str, word: str) -> tuple[float, dict[str, float]] | None:
         """(weight of the token against languages that are not named, scores of the named ones), or None for a neutral token."""
         if kind == "latin" or kind == "cyrillic":
-            found = self.words[kind].get(word) or self.words[kind].get(plain(word))
+            known = self.words[kind]
+            found = known.get(word)
+            if found is None and not word.isascii():
+                found = known.get(plain(word))
             return (DEEP, dict(zip(BY_SCRIPT[kind], found))) if found else None
+        if kind == "other":
+            return (DEEP, {next((l for l, span in ALONE.items() if span[0] <= word[0] <= span[2]), UND): 0.0})
         if kind == "cjk":
             if KANA.search(word):
                 return (2 * DEEP, {"ja": 0.0, "zh": -DEEP})
@@ -182,7 +193,7 @@ def stretches(toks: list[tuple[str, str, int, int]], model: Model, hint: str | N
             total[l] = total.get(l, 0.0) + weight + s
     for l in total:
         total[l] += model.prior.get(l, 0.0) + (l == hint)
-    ranked = sorted(total.items(), key=lambda x: (-x[1], LANGS.index(x[0])))
+    ranked = sorted(total.items(), key=lambda x: (-x[1], LANGS.index(x[0]) if x[0] in LANGS else len(LANGS), x[0]))
     best, gained = ranked[0]
     if every - gained < switch:
         second = ranked[1][1] if len(ranked) > 1 else 0.0
@@ -227,26 +238,30 @@ def segments(text: str | None, model: Model) -> list[tuple[str, float, int, int]
     return [(l, c, toks[a][2], toks[b - 1][3]) for l, c, a, b in stretches(toks, model)]
 
 
-def sample(df: DataFrame, text_col: str = "text", label_col: str = "text_lang", group_col: str = "repo", most: int = SAMPLE) -> list[tuple[str | None, str | None, str, float]]:
-    """A bounded sample of labelled rows, as even over the labels as they allow; rows are taken by the hash of group and text.
+def sample(df: DataFrame, text_col: str = "text", label_col: str = "text_lang", group_col: str = "repo", id_col: str = "comment_id", most: int = SAMPLE, labels: int = OWN_PARTS) -> list[tuple[str | None, str | None, str, float]]:
+    """A bounded sample of labelled rows, as even over the labels as they allow; rows are taken by the hash of their id.
 
-    Labels are served from the rarest on, each with an equal part of what is left, so that rare ones come whole and
-    the frequent share the rest; never more than twice `most` rows. Labels beyond the 200 most frequent are not sampled.
+    Labels are counted on their column alone. They are served from the rarest on, each with an equal part of what is
+    left, so that rare ones come whole and the frequent share the rest; never more than twice `most` rows. The `labels`
+    most frequent ones have parts of their own, all others together have one more.
     """
-    name = F.coalesce(F.lower(F.trim(F.col(label_col))), F.lit("")).alias("label")
-    rows = df.where(F.col(text_col).isNotNull()).select(name, F.col(group_col).alias("g"), F.col(text_col).alias("t"))
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(200).collect()
+    name = F.coalesce(F.lower(F.trim(F.col(label_col))), F.lit(""))
+    counts = df.groupBy(name.alias("label")).count()
+    sizes = counts.orderBy(F.desc("count"), "label").limit(labels).collect()
     if not sizes:
         return []
+    rest = counts.agg(F.sum("count")).head()[0] - sum(r["count"] for r in sizes)
     scale = 1_000_000
     share, left = {}, most
     for k, r in enumerate(reversed(sizes)):
         part = min(r["count"], left // (len(sizes) - k))
         share[r.label] = max(1, part) / r["count"]
         left -= part
+    other = min(1.0, most / labels / rest) if rest else 0.0
     even = F.create_map(*[x for l, s in share.items() for x in (F.lit(l), F.lit(max(1, int(s * scale))))])
-    taken = rows.where(F.pmod(F.xxhash64("g", "t"), F.lit(scale)) < F.coalesce(F.try_element_at(even, F.col("label")), F.lit(0)))
-    return [(r.label or None, r.g, r.t, 1 / share[r.label]) for r in taken.limit(2 * most).collect()]
+    rows = df.where(F.col(text_col).isNotNull()).select(name.alias("label"), F.col(group_col).alias("g"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
+    taken = rows.where(F.pmod("h", F.lit(scale)) < F.coalesce(F.try_element_at(even, F.col("label")), F.lit(int(other * scale)))).drop("h")
+    return [(r.label or None, r.g, r.t, 1 / share.get(r.label, other)) for r in taken.limit(2 * most).collect()]
 
 
 CODE_LINE = re.compile(
@@ -276,10 +291,27 @@ NOT_LANGUAGE = ("directive", "code", "empty")
 
 
 def stretches_of(text: str | None, exclude: str | None, model: Model) -> list[tuple[str, float, int, int]]:
-    """The stretches of a comment; none for directives, code and empty comments."""
+    """The stretches of a comment; none for directives, code and empty comments.
+
+    A text in words of which none is known, or too few for its length, is one stretch in `und` with a low confidence.
+    """
     if not text or exclude in NOT_LANGUAGE or is_code(text):
         return []
-    return segments(text, model)
+    toks = list(tokens(text))
+    if not toks:
+        return []
+    found = stretches(toks, model)
+    if not found:
+        return [(UND, 0.1, toks[0][2], toks[-1][3])]
+    out = []
+    for l, c, a, b in found:
+        n = b - a
+        if n >= FIT_WORDS and toks[a][0] in BY_SCRIPT:
+            fit = sum(1 for kind, word, _, _ in toks[a:b] if model.score(kind, word)) / n
+            if fit < FIT_SHARE:
+                l, c = UND, min(c, fit)
+        out.append((l, c, toks[a][2], toks[b - 1][3]))
+    return out
 
 
 def fitted(df: DataFrame, most: int = SAMPLE) -> Model:
@@ -291,7 +323,8 @@ def languages(df: DataFrame, model: Model | None = None, most: int = SAMPLE) ->
     """One row for each one-language stretch of a comment: comment_id, seg_no, lang, confidence, start_char, end_char, label, mended.
 
     `df` has comment_id, text, text_lang, exclude and repo. `label` is the language that text_lang names; `mended`
-    tells whether the label is missing or wrong, or the text has several languages. Rows with a null id or text, and
+    tells whether the label is missing or wrong, or the text has several languages. `und` is a text in words that the
+    model does not know. Rows with a null id or text, and
     those not in natural language, give none. Each row is worked on alone; the model is broadcast (its size is
     bounded by the sample).
     """

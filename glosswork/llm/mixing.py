@@ -45,10 +45,10 @@ def quotas(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
     The total is the size of all documents taken once, those of other sources too.
     """
-    by = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("size"))
+    by = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("size"), F.max("tokens").alias("largest"))
     total = by.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     t = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("max_repeats"))
-    q = t.join(by, "source", "left").crossJoin(total).fillna(0, ["docs", "size"])
+    q = t.join(by, "source", "left").crossJoin(total).fillna(0, ["docs", "size", "largest"])
     q = q.withColumns({"target": F.col("share") * F.col("total"), "most": F.col("size") * F.col("max_repeats")})
     q = q.withColumn("goal", F.least("target", F.col("most").cast("double")))
     return q.withColumn("rate", F.when(F.col("size") > 0, F.col("goal") / F.col("size")).otherwise(0.0))
@@ -118,7 +118,8 @@ def _flier(seed: int, taken: int, last: bool) -> Callable[[tuple, pd.DataFrame],
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """(plan, report). plan: doc_id, source, tokens, copies of the documents that are used; report: one row for each target source.
+    """(plan, report). plan: doc_id, source, tokens, copies of the documents that are used; report: one row for each target source; `short`
+    tells that what was drawn stays below the target by more than the two documents that the landing may leave out.
 
     Each document of a source is wanted `rate` times: its whole part is given to all, the fraction is an inclusion
     probability that the cube method settles. The flight runs in blocks of at most about `block` documents of one
@@ -155,7 +156,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK,
     report = quota.join(reached, "source", "left").crossJoin(whole).fillna(0, ["reached", "most_copies"])
     report = report.select(
         "source", "share", "max_repeats", "docs", "size", "target", "most", "reached", "most_copies",
-        (F.col("most") < F.col("target")).alias("short"),
+        (F.col("reached") + 2 * F.col("largest") < F.col("target")).alias("short"),
         F.when(F.col("total") > 0, F.col("reached") / F.col("total")).alias("share_of_input"),
         F.when(F.col("reached_total") > 0, F.col("reached") / F.col("reached_total")).alias("share_reached"),
     )

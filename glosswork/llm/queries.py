@@ -12,7 +12,7 @@ from glosswork.plans.common import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return lang.languages(table(spark, d, "comments")).where("mended").select("comment_id", "seg_no", "lang")
+    return lang.languages(table(spark, d, "comments")).where("mended AND lang != 'und'").select("comment_id", "seg_no", "lang")
 
 
 def p1_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.allocate(table(spark, d, "pool"), table(spark, d, "sample_targets")).select("source", "lang", "band", "need", "available", "short", "allocated")
+    return sampling.allocate(table(spark, d, "pool"), table(spark, d, "sample_targets")).select("source", "lang", "band", "need", "available", "short", "allocated", "unmet")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +68,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
-    comments = table(spark, d, "comments")
-    return embedded.shares(comments, embedded.embedded(comments))
+    return embedded.shares(table(spark, d, "comments"), table(spark, d, "source_files"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +84,7 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return report.where("short AND reached <= most").select("source")
+    return report.where("short").select("source")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +113,30 @@ c AS (
 )
 """
 
+_TREE = ("source", "lang", "band")
+
+
+def _passed_on(name: str, before: str, group: tuple[str, ...]) -> str:
+    part = f"PARTITION BY {', '.join(group)}" if group else ""
+    order = f"{part} ORDER BY {', '.join(_TREE)} ROWS"
+    return f"""{name}w AS (SELECT *, sum(lack) OVER ({part}) AS ls, sum(spare) OVER ({part}) AS ss, coalesce(sum(spare) OVER ({order} BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sb, sum(lack) OVER ({order} UNBOUNDED PRECEDING) AS lu FROM {before}),
+{name} AS (SELECT source, lang, band, need, available, short, allocated + greatest(0, least(spare, ls - sb)) AS allocated, spare - greatest(0, least(spare, ls - sb)) AS spare, least(lack, greatest(0, lu - ss)) AS lack FROM {name}w)"""
+
+
+_CANON = r"""WITH t AS (SELECT comment_id, repo, text, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS plain, regexp_matches(text, '(?:^|[\s\p{Z};])(?:@[\p{L}\p{M}\p{N}_.-]+[\s\p{Z}]+[^\s\p{Z}]|[\p{L}\p{M}\p{N}_.-]+=[^\s\p{Z}])') AS fields,
+  list_sort(list_filter(list_transform(string_split_regex(replace(text, '@', chr(2) || '@'), '\r\n|[\n\r\x0b\x0c\x02;]|\x{85}|\x{2028}|\x{2029}'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x != '')) AS pieces FROM comments WHERE exclude IS NULL AND repo IS NOT NULL),
+c AS (SELECT comment_id, repo, CASE WHEN fields THEN array_to_string(pieces, chr(1)) ELSE plain END AS c FROM t)
+"""
+_GRAMS = r"""list_filter(list_transform(string_split_regex(lower(text), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')), lambda x: x != '')"""
+
 SQL: dict[str, str] = {
     "p4_found": NEEDS + "SELECT source, lang, band FROM c WHERE available < need",
+    "p4_report": NEEDS.rstrip() + ", s AS (SELECT *, greatest(0, need - available) AS short, least(need, available) AS allocated, greatest(0, available - need) AS spare, greatest(0, need - available) AS lack FROM c),\n"
+    + ",\n".join((_passed_on("a", "s", ("source", "lang")), _passed_on("b", "a", ("source",)), _passed_on("d", "b", ())))
+    + "\nSELECT source, lang, band, need::BIGINT AS need, available::BIGINT AS available, short::BIGINT AS short, allocated::BIGINT AS allocated, lack::BIGINT AS unmet FROM d",
+    "p5_found": _CANON + "SELECT * FROM (SELECT min(comment_id) OVER (PARTITION BY repo, c) AS keep_id, comment_id AS copy_id FROM c WHERE c != '') WHERE keep_id != copy_id",
+    "p5_records": _CANON + "SELECT min(comment_id) AS keep_id, count(*) AS n FROM c WHERE c != '' GROUP BY repo, c",
+    "p7_found": f"""WITH d AS (SELECT doc_id, {_GRAMS} AS w FROM documents), i AS (SELECT item_id, {_GRAMS} AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)), ig AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
 }

@@ -62,7 +62,7 @@ def _pass_on(table: DataFrame, group: list[str]) -> DataFrame:
 
 
 def allocate(pool: DataFrame, targets: DataFrame, fraction: int = 5) -> DataFrame:
-    """One row for each target cell: need, available, short, allocated.
+    """One row for each target cell: need, available, short, allocated, unmet (what no cell of the tree could give).
 
     N is the number of distinct ids divided by `fraction`, rounded down. A cell first gets the lesser of its need
     and its rows; unmet quota passes to siblings (same source and language), then to cousins (same source), then to
@@ -88,7 +88,7 @@ def allocate(pool: DataFrame, targets: DataFrame, fraction: int = 5) -> DataFram
     start = start.withColumn("short", F.col("lack"))
     for group in (["source", "lang"], ["source"], []):
         start = _pass_on(start, group)
-    return start.select(*TREE, "target_share", "min_rows", "need", "available", "short", "allocated")
+    return start.select(*TREE, "target_share", "min_rows", "need", "available", "short", "allocated", F.col("lack").alias("unmet"))
 
 
 def draw(pool: DataFrame, targets: DataFrame, fraction: int = 5, seed: int = 7, bins: int = 1024) -> DataFrame:
@@ -107,7 +107,7 @@ def draw(pool: DataFrame, targets: DataFrame, fraction: int = 5, seed: int = 7,
     offsets = (
         counts.withColumn("_below", F.coalesce(F.sum("k").over(below), F.lit(0)))
         .select(*[F.col(c).alias(f"_{c}") for c in TREE], F.col("_bin").alias("__bin"), "_below")
-        .join(F.broadcast(goal), [f"_{c}" for c in TREE])
+        .join(F.broadcast(goal.toDF(*(f"g_{c}" for c in TREE), "allocated")), F.expr(" AND ".join(f"_{c} <=> g_{c}" for c in TREE)))  # as many rows as targets
         .where(F.col("_below") < F.col("allocated"))
     )
     same = F.expr(" AND ".join([*(f"{c} <=> _{c}" for c in TREE), "_bin = __bin"]))

@@ -6,9 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.llm.lang import SEEDS
+
 # Abbreviations by how a full stop after them reads. The languages that a word belongs to stand in front.
 NEVER_LAST = {
     "en": "dr mr mrs ms prof st vs cf i.e e.g approx viz",
@@ -49,19 +52,66 @@ MAY_BE_LAST = {
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember"
 
 
-def _tail(words: dict[str, str]) -> re.Pattern[str]:
-    """Matches a text that ends with one of the abbreviations and its full stop; inner stops may be followed by a blank."""
-    forms = sorted({w for line in words.values() for w in line.split()}, key=len, reverse=True)
-    body = "|".join(r"\.\s?".join(map(re.escape, w.split("."))) for w in forms)
-    return re.compile(rf"(?:^|[^\w'-])(?:{body})\.$", re.I)
+
+def _class(pattern: str) -> str:
+    """The characters of a Unicode property, as the `regex` library knows them, escaped for a class of `re`."""
+    return "".join(map(re.escape, regex.findall(pattern, _EVERY)))
+
+
+# Character properties: the classes of the sentence break rules that decide here.
+_EVERY = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+STERM = _class(r"\p{Sentence_Break=STerm}")
+ATERM = _class(r"\p{Sentence_Break=ATerm}")
+CLOSE = _class(r"(?=[\p{Pe}\p{Pf}\"'])\p{Sentence_Break=Close}")
+GO_ON = frozenset(regex.findall(r"\p{Sentence_Break=SContinue}", _EVERY)) - frozenset("-–—") | frozenset(";；)]}»›）」』")
+del _EVERY
+# Marks after which a blank is usual; with all others the sentence ends where they stand. The dots of an ellipsis and the strokes of Tibetan end
+# sentences too, though the property does not list them.
+SPACED = "!?‼⁇⁈⁉؟۔"
+WIDE = frozenset(re.sub(r"\\(.)", r"\1", STERM)) - frozenset(SPACED) | frozenset("．།༎")
+_WIDE = "".join(map(re.escape, sorted(WIDE)))
+END = re.compile(rf"([{_WIDE}]+|[{ATERM}{re.escape(SPACED)}…‥]+)((?:[{CLOSE}*]|(?<=[.!?])“|[\u00a0\u202f\u2009]»)*)(\s*)")
+
+
+def _tail(words: dict[str, str]) -> dict[str, re.Pattern[str]]:
+    """For each language a pattern for a text that ends with one of its abbreviations and the full stop; inner stops may be followed by a blank. `any` has them all."""
+
+    def pattern(forms: set[str]) -> re.Pattern[str]:
+        body = "|".join(r"\.\s?".join(map(re.escape, w.split("."))) for w in sorted(forms, key=lambda w: (-len(w), w)))
+        return re.compile(rf"(?:^|[^\w'-])(?:{body})\.$", re.I)
+
+    return {"any": pattern({w for line in words.values() for w in line.split()}), **{lang: pattern(set(line.split())) for lang, line in words.items()}}
 
 
 NEVER, NUMBER, MAYBE = map(_tail, (NEVER_LAST, BEFORE_NUMBER, MAY_BE_LAST))
+WORDS = re.compile(r"[^\W\d_]+")
+# Function words with their languages; a word that several have counts for each in part, one of a single letter for none.
+COMMON: dict[str, list[str]] = {}
+for _lang, _line in SEEDS.items():
+    for _word in _line.split():
+        if len(_word) > 1:
+            COMMON.setdefault(_word, []).append(_lang)
+
+
+def _language(text: str, start: int, at: int, end: int) -> str:
+    """The language around an abbreviation that ends at `at`, among those of its script, by the function words of what stands before it in its sentence and after it up to the next mark; `any` where they do not tell clearly."""
+    after = STOP.search(text, at, end)
+    end = after.start() if after else end
+    cyrillic = text[at - 2] >= "\u0400"
+    counts = dict.fromkeys(("ru", "uk") if cyrillic else [x for x in SEEDS if x not in ("ru", "uk")], 0.0)
+    for w in WORDS.findall(text, max(start, at - 100), min(end, at + 60)):
+        langs = COMMON.get(w.lower(), ())
+        for lang in langs:
+            if lang in counts:
+                counts[lang] += 1 / len(langs)
+    first, second, *_ = sorted(counts.values(), reverse=True)
+    return max(counts, key=counts.__getitem__) if first >= 1.5 and first >= 2 * second else "any"
+
+
+STOP = re.compile(rf"[{STERM}{ATERM}]")
 INITIAL = re.compile(r"(?:^|[^\w.])[^\W\d_]\.$")
 ORDINAL = re.compile(r"\d\.$")
 MONTH = re.compile(rf"\s*(?:{'|'.join(MONTHS.split())})\b")
-END = re.compile(r"([।॥。！？｡．]+|[.!?‼⁇⁈⁉؟۔…]+)((?:[\"'”’»›)\]}」』）】〉》*]|(?<=[.!?])“|[   ]»)*)(\s*)")
-WIDE = frozenset("。！？｡．।॥")
 LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x85  ]|$)")
 QUOTE = re.compile(r"[ \t]{0,3}(?:>[ \t]?)+")
 HEADING = re.compile(r"[ \t]{0,3}#{1,6}[ \t]+")
@@ -73,7 +123,7 @@ THAI_ANY = re.compile(r"[฀-๿]")
 IDENTIFIER = re.compile(r"\w+_\w+|[a-z]+[A-Z]\w*|\w+(?=\.\w+\(|\(\))")
 PART = re.compile(r"[^\W_]{3,}")
 WORD = re.compile(r"\w+")
-LAST = re.compile(r"[.!?‼⁇⁈⁉؟۔।॥。！？｡．…][\"'”’“»›)\]}」』）】〉》*\s]*$")
+LAST = re.compile(rf"[{STERM}{ATERM}…‥།༎][{CLOSE}“*\s]*$")
 QUOTES = re.compile(r"[“‘「『«”’」』»]")
 PAIRS = {"”": "“", "’": "‘", "」": "「", "』": "『", "»": "«"}
 OPENERS = "\"'“”‘„«‹(¿¡「『（【[*"
@@ -96,14 +146,14 @@ class Names:
         return bool(m) and m.group().lower() in self.parts
 
 
-def _unbroken(before: str, mark: str, closers: str, gap: str, text: str, at: int, names: Names, told: bool) -> bool:
-    """Whether the sentence goes on at `at`, after an end mark, its closers and a gap; `told` is whether a colon introduces the quotation that is open."""
+def _unbroken(before: str, mark: str, closers: str, gap: str, text: str, at: int, names: Names, told: bool, stretch: tuple[int, int]) -> bool:
+    """Whether the sentence goes on at `at`, after an end mark, its closers and a gap; abbreviations are those of the language of the stretch. `told` is whether a colon introduces the quotation that is open."""
     after = text[at]
     if mark[-1] in WIDE and mark[-1] not in ".!?":
         if not closers or gap:
             return False
         return not told
-    if after in ",;:)]}»›，、；：）」』" or (after in "—–-" and closers):
+    if after in GO_ON or (after in "—–-" and closers):
         return True
     lower = after.islower()
     dots = "…" in mark or mark.endswith("..")
@@ -116,19 +166,22 @@ def _unbroken(before: str, mark: str, closers: str, gap: str, text: str, at: int
             return True
         prior = before[-2:]
         if after.isupper():
-            return not (closers or len(prior) == 2 and (prior.islower() or prior[-1].isdigit() or not prior[-1].isascii() or mark[-1] in "!?"))
+            return not (closers or len(prior) == 2 and (prior.islower() and not prior[0].isspace() or prior[-1].isdigit() or not prior[-1].isascii() or mark[-1] in "!?"))
         return lower or not (closers or prior[-1:].isalpha() and not prior[-1:].isascii())
     lower = lower and not names.at(text, at)
     if closers and lower:
         return True
     if mark == ".":
         head = before[-16:] + "."
-        if NEVER.search(head):
-            return True
-        if NUMBER.search(head) and (after.isdigit() or lower):
-            return True
-        if MAYBE.search(head) and lower:
-            return True
+        never, number, maybe = NEVER["any"].search(head), NUMBER["any"].search(head), MAYBE["any"].search(head)
+        if never or number or maybe:
+            lang = _language(text, stretch[0], at - len(closers) - len(gap), stretch[1])
+            if never and NEVER.get(lang, NEVER["any"]).search(head):
+                return True
+            if number and (after.isdigit() or lower) and NUMBER.get(lang, NUMBER["any"]).search(head):
+                return True
+            if maybe and lower and MAYBE.get(lang, MAYBE["any"]).search(head):
+                return True
         if INITIAL.search(head) and not head[-2].isdigit() and (after.isalpha() and len(re.match(r"\w*", text[at : at + 4]).group()) <= 2 or lower and not closers and len(head.rstrip(".").split()[-1]) == 1 and head[-2].islower() and head[-2].isascii()):
             return True
         if ORDINAL.search(head) and MONTH.match(text, at):
@@ -153,7 +206,7 @@ def _cut(text: str, start: int, end: int, names: Names) -> Iterator[tuple[int, i
                 opened.pop()
         seen = m.start()
         told = bool(opened) and opened[-1] > start and text[opened[-1] - 1] in ":："
-        if not _unbroken(text[max(start, m.start() - 120) : m.start()], mark, closers, gap, text, m.end(), names, told):
+        if not _unbroken(text[max(start, m.start() - 120) : m.start()], mark, closers, gap, text, m.end(), names, told, (cuts[-1][1] if cuts else start, end)):
             cuts.append((m.end() - len(gap), m.end()))
     if THAI_ANY.search(text, start, end):
         cuts += [(m.start(), m.end()) for m in THAI.finditer(text, start, end)]

@@ -338,3 +338,63 @@ def test_found_columns(spark, data):
     }
     for name, columns in want.items():
         assert ",".join(f"{c} {t}" for c, t in queries.QUERIES[name](spark, data).dtypes) == columns, name
+
+
+# More of p1, p4, p5, p6, p9
+
+
+def test_unknown_languages_are_und(spark, model):
+    rows = [(1, "r", "Deze functie leest het bestand voordat de buffer wordt vrijgegeven, zodat niemand hoeft te wachten.", None), (2, "r", "Αυτή η συνάρτηση διαβάζει το αρχείο.", None), (3, "r", "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺ", None), (4, "r", "zzkx qqwv", None)]
+    got = {r.comment_id: (r.lang, r.confidence) for r in lang.languages(comments(spark, rows), model).collect()}
+    assert got[1][0] == "und" and got[1][1] < 0.5 and got[2][0] == "el" and got[3][0] == "und" and got[4] == ("und", 0.1)
+
+
+def test_draw_takes_null_categories(spark):
+    pool = spark.createDataFrame([(f"i{k}", None, "go", None) for k in range(20)], "id string, source string, lang string, overlap double")
+    goal = spark.createDataFrame([(None, "go", "none", 1.0, 2), (None, "c", "none", 0.0, 3)], "source string, lang string, band string, target_share double, min_rows int")
+    assert sampling.draw(pool, goal).count() == 7
+    assert {r.lang: (r.short, r.unmet) for r in sampling.allocate(pool.limit(3), goal).collect()} == {"go": (0, 0), "c": (3, 2)}
+
+
+def test_collapse_counts_every_set(spark):
+    rows = [(k, "r", f"Text {k % 7}!", None, None) for k in range(40)] + [(90, "q", "text 1", None, None), (91, None, "text", None, None), (92, "r", "...", None, None)]
+    df = comments(spark, rows)
+    for cap in (1, 3, 50_000):
+        got = {r.keep_id: r.n for r in formatdup.collapse(df, cap=cap).collect()}
+        assert got == {**{k: len(range(k, 40, 7)) for k in range(7)}, 90: 1}
+        assert formatdup.copies(df, cap=cap)[1].count() == 33
+
+
+def test_shares_of_files(spark, model):
+    code = 'x = "This message tells the caller that the file is missing."\ny = x\n'
+    files = spark.createDataFrame([("r", "s", "f.py", "python", code), ("r", "s", "g.py", "python", "")], "repo string, sha string, file string, lang string, content string")
+    rows = [(i, "a", "r", "s", "f.py", "inline", "This is the buffer that every caller reads.", "en", None, "python", day) for i, day in ((1, "2020"), (2, "2021"))]
+    df = spark.createDataFrame(rows, "comment_id long, id string, repo string, sha string, file string, kind string, text string, text_lang string, exclude string, lang string, ingested_at string")
+    got = {(r.place, r.lang): (r.bytes, r.share) for r in embedded.shares(df, files, model).collect()}
+    assert set(got) == {("text", "en"), ("literal", "en")}
+    n, share = got["literal", "en"]
+    assert 50 < n < len(code) and share == round(n / len(code), 6)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Սա առաջինն է։ Սա երկրորդն է։", 2), ("ይህ ነው። ያ ነው።", 2), ("នេះ។ នោះ។", 2), ("ဒါ။ ဟို။", 2), ("བོད། སྐད།", 2), ("This looks ok. Then it ran.", 2), ("Ich sah es. Dann kam er.", 2),
+        ("Choose option d. Then run it.", 2), ("Vgl. Abb. 3 und die Tabelle.", 1), ("Das gilt z.B. für alle, die am 3. März da sind. Ende.", 2), ("Use a shorter name, e.g. this one.", 1), ("He came at 3.5 p.m. to see it. Fine!", 2),
+        ("यह पहला है। यह दूसरा है।", 2), ("这是第一句。这是第二句。", 2), ("هل هذا صحيح؟ نعم.", 2),
+    ],
+)
+def test_sentence_counts(text, want):
+    assert len(sentences.units(text)) == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pool", "comments", "sample_targets", "documents", "eval_items"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, data)
+    columns = sorted(df.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(repr, con.execute(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()))
