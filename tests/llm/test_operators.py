@@ -133,6 +133,29 @@ def test_hot_buckets_are_led_in_parts(spark, monkeypatch):
     assert label == {k: 0 for k in range(30)}
 
 
+@pytest.mark.parametrize("limits", [{}, {"FEW": 3, "CHUNK": 50, "HELD": 8}, {"LARGE": 20}, {"PART": 20, "COARSE": 4}])
+def test_no_pair_is_left_out(spark, monkeypatch, limits):
+    """Every pair of similarity 0.8 or more shares a class, also through units that are alike by a hair; none below is linked."""
+    for name, value in limits.items():
+        monkeypatch.setattr(handwritten, name, value)
+    rng = random.Random(5)
+    units = set()
+    for _ in range(60):
+        unit = [rng.randrange(1, 60) for _ in range(rng.randrange(4, 70))]
+        for _ in range(6):
+            units.add(array("H", unit).tobytes())
+            for _ in range(rng.randrange(1, 3)):
+                at = rng.choice([0, len(unit) - 1, rng.randrange(len(unit))])
+                unit = unit[:at] + rng.choice([[rng.randrange(1, 60)], [], [unit[at], rng.randrange(1, 60)]]) + unit[at + 1 :] or [1]
+    units = sorted(units)
+    sets = [handwritten.shingles(c) for c in units]
+    want = {(a, b) for b in range(len(units)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    found = handwritten.links(spark.createDataFrame(list(enumerate(units)), "unit long, codes binary"))
+    assert {(min(r), max(r)) for r in found.collect()} <= want
+    label = {r.unit: r.cluster for r in classes.components(found, "unit", "other", "cluster").collect()}
+    assert len(want) > 150 and [(a, b) for a, b in want if label.get(a, a) != label.get(b, b)] == []
+
+
 def test_nothing_is_found_without_clusters(spark, monkeypatch, data):
     files = spark.read.parquet(data + "/source_files.parquet")
     assert handwritten.classified(files).where("kind IS NOT NULL").count() > 0
