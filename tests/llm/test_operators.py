@@ -110,6 +110,20 @@ def test_components_of_a_chain(spark):
     assert classes.components(edges.limit(0), "file_id", "other", "cluster").count() == 0
 
 
+@pytest.mark.parametrize("whole", [None, 10])
+def test_components_of_few_links_meet_in_one_task(spark, monkeypatch, whole):
+    if whole:
+        monkeypatch.setattr(classes, "WHOLE", whole)
+    edges = spark.range(0, 400, numPartitions=4).where("id % 50 < 49").select((F.col("id") * 7 % 400).alias("a"), ((F.col("id") + 1) * 7 % 400).alias("b"))
+    spark.sparkContext.setJobGroup(f"components {whole}", "")
+    got = {r.a: r.c for r in classes.components(edges, "a", "b", "c").collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {whole}")
+    spark.sparkContext.setJobGroup("", "")
+    lowest = [min(j * 7 % 400 for j in range(i, i + 50)) for i in range(0, 400, 50)]
+    assert got == {i * 7 % 400: lowest[i // 50] for i in range(400)}
+    assert (len(jobs) < 10) == (whole is None), jobs
+
+
 def test_links_of_units_against_all_pairs(spark, data):
     """Of the pairs of similarity 0.8 or more between the units that are divisible by 100 and all units, nine in ten or more share a class; none below is linked."""
     rows = handwritten.profiles(spark.read.parquet(data.replace("0.001", "0.01") + "/source_files.parquet")).where("view = 0 AND n > 0")
