@@ -170,6 +170,20 @@ def test_no_pair_is_left_out(spark, monkeypatch, limits):
     assert len(want) > 150 and [(a, b) for a, b in want if label.get(a, a) != label.get(b, b)] == []
 
 
+@pytest.mark.parametrize("limits", [{}, {"PIECE": 50, "CHUNK": 70, "FEW": 3}])
+def test_gathered_units_are_not_linked_again_in_each_bucket(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(handwritten, name, value)
+    codes = [array("H", [*range(1000 * f, 1000 * f + 30), 7 + k, *range(1000 * f + 500, 1000 * f + 530)]).tobytes() for f in range(1, 5) for k in range(100)]
+    shapes = spark.createDataFrame([(k, c) for k, c in enumerate(codes)] * 2, "unit long, codes binary")
+    met = handwritten.gathered(shapes).collect()
+    assert sorted(r.unit for r in met if r.codes) == list(range(400)) and all(r.near // 100 == r.unit // 100 for r in met)
+    found = handwritten.links(shapes.distinct())
+    assert found.count() < 600
+    label = {r.unit: r.cluster for r in classes.components(found, "unit", "other", "cluster").collect()}
+    assert label == {k: k // 100 * 100 for k in range(400)}
+
+
 def test_nothing_is_found_without_clusters(spark, monkeypatch, data):
     files = spark.read.parquet(data + "/source_files.parquet")
     assert handwritten.classified(files).where("kind IS NOT NULL").count() > 0
